@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 100_000
 DEFAULT_BUCKETS = 64
+EDGE_SAMPLE = 0.01
 SALTS = 32
 
 
@@ -75,14 +76,15 @@ def score_edges(
 ) -> list[float]:
     """Interior bucket edges so that no bucket holds much more than its share of rows.
 
-    One sketch pass over the score column; at most ``buckets - 1`` numbers come back.
-    Results never depend on where the edges fall, only the balance of tasks does.
-    A score shared by many rows collapses to one row before buckets are used.
+    A sketch of a row sample; at most ``buckets - 1`` numbers come back. Results never
+    depend on where the edges fall, only the balance of tasks does, so a small input may
+    end up with few edges or none. A score shared by many rows collapses to one row
+    before buckets are used.
     """
     if buckets < 2:
         return []
     quantiles = [i / buckets for i in range(1, buckets)]
-    row = scores.agg(
+    row = scores.sample(EDGE_SAMPLE, seed=1).agg(
         F.percentile_approx(F.col(score).cast("double"), quantiles, buckets * 20).alias("e")
     ).first()
     inf = float("inf")

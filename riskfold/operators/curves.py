@@ -22,8 +22,8 @@ INF = float("inf")
 
 
 def score_counts(scores: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
-    """Positives and rows at each distinct score."""
-    return scores.groupBy(*by, "p").agg(
+    """Positives and rows at each distinct score; a row without a score is on no curve."""
+    return scores.filter(F.col("p").isNotNull()).groupBy(*by, "p").agg(
         F.sum(F.col("y_true").cast("bigint")).alias("pos"), F.count(F.lit(1)).alias("n")
     )
 
@@ -206,3 +206,17 @@ def fold_ranking(scores: DataFrame) -> DataFrame:
         )
         .orderBy(*by)
     )
+
+
+def long_streams(wide: DataFrame, ids: Sequence[str], streams: dict[str, str]) -> DataFrame:
+    """Long ``(ids, model, p)`` from one probability column per model.
+
+    Exploding structs, unlike ``unpivot``, lets both uses of a curve share one shuffle.
+    """
+    cells = F.array(
+        *[
+            F.struct(F.lit(m).alias("model"), F.col(f"`{c}`").cast("double").alias("p"))
+            for m, c in streams.items()
+        ]
+    )
+    return wide.select(*ids, F.inline(cells))

@@ -27,8 +27,8 @@ def wide_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wide_scores(spark, sf_dir).unpivot(
-        ["fold_id", "y_true"], ["disc", "qty", "price"], "model", "p"
+    return curves.long_streams(
+        wide_scores(spark, sf_dir), ["fold_id", "y_true"], {m: m for m in ("disc", "qty", "price")}
     )
 
 
