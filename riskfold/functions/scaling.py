@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 100_000
 DEFAULT_BUCKETS = 64
 EDGE_SAMPLE = 0.01
+SMALL_SAMPLE = 500  # about 50,000 rows
 SALTS = 32
 
 
@@ -77,26 +78,26 @@ def score_edges(
     """Interior bucket edges so that no bucket holds much more than its share of rows.
 
     A sketch of a row sample; at most ``buckets - 1`` numbers come back. Results never
-    depend on where the edges fall, only the balance of tasks does, so a small input may
-    end up with few edges or none. A score shared by many rows collapses to one row
-    before buckets are used.
+    depend on where the edges fall, only the balance of tasks does. An input with a small
+    sample needs no buckets and gets none. A score shared by many rows collapses to one
+    row before buckets are used.
     """
     if buckets < 2:
         return []
     quantiles = [i / buckets for i in range(1, buckets)]
-    row = scores.sample(EDGE_SAMPLE, seed=1).agg(
-        F.percentile_approx(F.col(score).cast("double"), quantiles, buckets * 20).alias("e")
-    ).first()
+    sketch = F.percentile_approx(F.col(score).cast("double"), quantiles, buckets * 20)
+    row = scores.sample(EDGE_SAMPLE, seed=1).agg(F.count(F.lit(1)).alias("n"), sketch.alias("e"))
+    n, edges = row.collect()[0]
+    if n < SMALL_SAMPLE:
+        return []
     inf = float("inf")
-    return sorted({e for e in (row.e or []) if -inf < e < inf})
+    return sorted({e for e in (edges or []) if -inf < e < inf})
 
 
 def with_bucket(
     df: DataFrame, edges: Sequence[float], score: str = "p", name: str = "bucket"
 ) -> DataFrame:
     """Number the score interval of each row; higher scores get higher numbers."""
-    if not edges:
-        return df.withColumn(name, F.lit(0.0))
     splits = [-float("inf"), *edges, float("inf")]
     return Bucketizer(
         splits=splits, inputCol=score, outputCol=name, handleInvalid="keep"

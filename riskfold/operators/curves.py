@@ -38,23 +38,42 @@ def cumulative_curve(
 
     Columns: ``by``, ``p``, ``pos``, ``n`` (at this score), ``tp``, ``fp`` (at or above),
     ``tot_pos``, ``tot_neg`` and ``next_pos``, ``next_n`` (at the next lower score).
-    ``edges`` skips the sketch pass when the caller already knows balanced ones.
+    ``edges`` skips the sketch pass when the caller already knows balanced ones; no edges
+    mean one bucket.
     """
     by = list(by)
     if edges is None:
         edges = score_edges(scores, buckets=buckets)
-    counts = with_bucket(score_counts(scores, by), edges)
+    counts = score_counts(scores, by)
+    if edges:
+        return _bucketed_curve(with_bucket(counts, edges), by)
+    order = Window.partitionBy(*by).orderBy(F.desc("p"))
+    running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.partitionBy(*by)
+    return counts.select(
+        *by,
+        "p",
+        "pos",
+        "n",
+        F.sum("pos").over(running).alias("tp"),
+        F.sum(F.col("n") - F.col("pos")).over(running).alias("fp"),
+        F.sum("pos").over(whole).alias("tot_pos"),
+        F.sum(F.col("n") - F.col("pos")).over(whole).alias("tot_neg"),
+        F.lead("pos").over(order).alias("next_pos"),
+        F.lead("n").over(order).alias("next_n"),
+    )
+
 
+def _bucketed_curve(counts: DataFrame, by: list[str]) -> DataFrame:
+    """The curve from running sums inside buckets and the totals of the buckets above."""
     totals = counts.groupBy(*by, "bucket").agg(
         F.sum("pos").alias("b_pos"),
         F.sum("n").alias("b_n"),
         F.max_by(F.struct("pos", "n"), "p").alias("head"),
     )
     # At most one row per bucket and group: a small frame whatever the input size.
-    above = Window.partitionBy(*by).orderBy(F.desc("bucket")).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
     nearby = Window.partitionBy(*by).orderBy(F.desc("bucket"))
+    above = nearby.rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)
     offsets = totals.select(
         *by,
@@ -65,7 +84,6 @@ def cumulative_curve(
         F.sum("b_n").over(whole).alias("tot_n"),
         F.lead("head").over(nearby).alias("below"),
     )
-
     inside = Window.partitionBy(*by, "bucket").orderBy(F.desc("p"))
     running = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = counts.select(

@@ -140,8 +140,8 @@ class AveragePrecision(Evaluator):
         scores = dataset.select(
             F.lit("m").alias("model"), positive_probability().alias("p"), F.col(LABEL)
         )
-        row = average_precision(scores).first()
-        return float(row.auprc) if row is not None and row.auprc is not None else 0.0
+        rows = average_precision(scores).collect()
+        return float(rows[0].auprc) if rows and rows[0].auprc is not None else 0.0
 
     def isLargerBetter(self) -> bool:
         return True
@@ -165,8 +165,10 @@ class FittedForest:
 
     def vectors(self, df: DataFrame, keep: Sequence[str] = (ID,)) -> DataFrame:
         """``keep`` and the feature vector. Inputs are matched by name only."""
-        inputs = prepare_inputs(df, self.numeric, self.categorical, keep)
-        return self.preparation.transform(inputs).select(*[col(k) for k in keep], "features")
+        # Kept columns travel in a struct: one may share its name with an input.
+        packed = df.withColumn("_keep", F.struct(*[col(k) for k in keep]))
+        inputs = prepare_inputs(packed, self.numeric, self.categorical, ["_keep"])
+        return self.preparation.transform(inputs).select("_keep.*", "features")
 
     def predict(self, df: DataFrame, keep: Sequence[str] = (ID,), name: str = "p") -> DataFrame:
         """``keep`` and the probability of class 1."""

@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskfold.functions.scalars import at_least, coerce_numeric, format_subject_id
+from riskfold.functions.scalars import (
+    at_least,
+    clip_probability,
+    coerce_numeric,
+    col,
+    format_subject_id,
+)
 from riskfold.operators import curves, thresholds
+from riskfold.operators.cohort import ID, LABEL, join_intersection, select_unlabelled
+from riskfold.plans.multi_source import FinalModels
 from riskfold.sources.tables import canonical_thresholds
 
 # Which score column each threshold row applies to.
@@ -84,3 +93,66 @@ def binary_flags(out: DataFrame, threshold_rows: DataFrame) -> DataFrame:
 
 def with_display_id(out: DataFrame, id_col: str, name: str = "display_id") -> DataFrame:
     return out.withColumn(name, format_subject_id(F.col(id_col)))
+
+
+def scoring_cohort(
+    pheno: DataFrame,
+    features: Mapping[str, DataFrame],
+    unlabelled_only: bool = False,
+    dedup: bool = False,
+) -> DataFrame:
+    """Subjects present in every source, labelled or not; copies multiply unless ``dedup``."""
+    if unlabelled_only:
+        pheno = select_unlabelled(pheno)
+    return join_intersection({"pheno": pheno, **features}, None, dedup=dedup)
+
+
+def score_early(models: FinalModels, df: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """Early-fusion risk; inputs are matched by name."""
+    return models.early.predict(df, keep, "risk_multi_early_raw")
+
+
+def score_late(models: FinalModels, df: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """Late-fusion risk: base probabilities into the meta-model, base columns dropped."""
+    names = list(models.bases)
+    out = df
+    for n in names:
+        carried = [*df.columns, *[f"p_{m}" for m in names if f"p_{m}" in out.columns]]
+        out = models.bases[n].predict(out, carried, f"p_{n}")
+    return out.select(*[col(k) for k in keep], models.meta.probability().alias("risk_multi_late_raw"))
+
+
+def score_calibrated(models: FinalModels, out: DataFrame, clip: float = 0.0) -> DataFrame:
+    """Add calibrated risks, equal to the raw ones where no calibrators were saved.
+
+    ``calibration_source`` tells which: thresholds named ``*_cal`` were chosen on the
+    fold-calibrated streams, not on these.
+    """
+    have = all(k in models.calibrators for k in ("early", "late"))
+    added = []
+    for k in ("early", "late"):
+        raw = F.col(f"risk_multi_{k}_raw")
+        p = models.calibrators[k].apply(clip_probability(raw, clip)) if have else raw
+        added.append(p.alias(f"risk_multi_{k}"))
+    return out.select("*", *added, F.lit("oof_map" if have else "none").alias("calibration_source"))
+
+
+def score_table(
+    models: FinalModels,
+    df: DataFrame,
+    threshold_rows: DataFrame | None = None,
+    clip: float = 0.0,
+    calibrate: bool = True,
+) -> DataFrame:
+    """Id, label where there is one, raw and calibrated risks, flags, display id.
+
+    One narrow plan over the cohort: no shuffle after the cohort joins.
+    """
+    keep = [ID] + ([LABEL] if LABEL in df.columns else [])
+    early = score_early(models, df, [*df.columns])
+    out = score_late(models, early, [*keep, "risk_multi_early_raw"])
+    chosen = models if calibrate else replace(models, calibrators={})
+    out = score_calibrated(chosen, out, clip)
+    if threshold_rows is not None:
+        out = binary_flags(out, threshold_rows)
+    return with_display_id(out, ID)

@@ -36,7 +36,7 @@ def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
     """Comparable output: rounded fractions, null for infinities."""
     out = []
     for f in df.schema.fields:
-        c = F.col(f.name)
+        c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
             c = F.round(F.when(F.abs(c) != float("inf"), c), digits)
         out.append(c.alias(f.name))
