@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 100_000
-DEFAULT_BUCKETS = 64
+MIN_BUCKETS, MAX_BUCKETS = 64, 4096
 EDGE_SAMPLE = 0.01
-SMALL_SAMPLE = 500  # about 50,000 rows
+SMALL_SAMPLE = 1000  # about 100,000 rows: one task sorts them at once
 SALTS = 32
 
+_local_dirs: dict[str, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
@@ -27,9 +29,10 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    path = tempfile.mkdtemp(prefix="riskfold-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    app = spark.sparkContext.applicationId
+    if app not in _local_dirs:
+        _local_dirs[app] = tempfile.mkdtemp(prefix="riskfold-")
+    return _local_dirs[app]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -72,16 +75,18 @@ def attach_small(
     return big.withColumn("_salt", spread).join(salted, [*on, "_salt"]).drop("_salt")
 
 
-def score_edges(
-    scores: DataFrame, score: str = "p", buckets: int = DEFAULT_BUCKETS
-) -> list[float]:
+def score_edges(scores: DataFrame, score: str = "p", buckets: int | None = None) -> list[float]:
     """Interior bucket edges so that no bucket holds much more than its share of rows.
 
     A sketch of a row sample; at most ``buckets - 1`` numbers come back. Results never
     depend on where the edges fall, only the balance of tasks does. An input with a small
     sample needs no buckets and gets none. A score shared by many rows collapses to one
-    row before buckets are used.
+    row before buckets are used. By default there are as many buckets as shuffle
+    partitions.
     """
+    if buckets is None:
+        width = int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        buckets = min(max(width, MIN_BUCKETS), MAX_BUCKETS)
     if buckets < 2:
         return []
     quantiles = [i / buckets for i in range(1, buckets)]

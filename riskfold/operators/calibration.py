@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import asdict, dataclass
 
 from pyspark.ml.classification import LogisticRegression
@@ -46,8 +47,13 @@ class Isotonic:
             return F.when(p.isNotNull(), F.lit(ys[0]))
         knots = F.array(*[F.lit(float(x)) for x in xs])
         levels = F.array(*[F.lit(float(y)) for y in ys])
-        # 1-based position of the last knot at or below p, kept inside the segments.
-        at = F.greatest(F.least(F.size(F.filter(knots, lambda x: x <= p)), F.lit(len(xs) - 1)), F.lit(1))
+        # 1-based position of the last knot at or below p, kept inside the segments: a
+        # search of every step-th knot, then of one step.
+        step = max(1, math.isqrt(len(xs)))
+        marks = F.array(*[F.lit(float(x)) for x in xs[::step]])
+        before = (F.greatest(_count_up_to(marks, p), F.lit(1)) - 1) * step
+        at = before + _count_up_to(F.slice(knots, before + 1, F.lit(step)), p)
+        at = F.greatest(F.least(at, F.lit(len(xs) - 1)), F.lit(1))
         x0, x1 = F.element_at(knots, at), F.element_at(knots, at + 1)
         y0, y1 = F.element_at(levels, at), F.element_at(levels, at + 1)
         inside = y0 + (y1 - y0) * (p - x0) / (x1 - x0)
@@ -57,6 +63,10 @@ class Isotonic:
         return {"method": "isotonic", "boundaries": list(self.boundaries), "values": list(self.values)}
 
 
+def _count_up_to(knots: Column, p: Column) -> Column:
+    return F.size(F.filter(knots, lambda x: x <= p))
+
+
 Calibrator = Sigmoid | Isotonic
 
 

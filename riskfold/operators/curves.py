@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskfold.functions.scalars import ratio
-from riskfold.functions.scaling import DEFAULT_BUCKETS, score_edges, with_bucket
+from riskfold.functions.scaling import score_edges, with_bucket
 
 INF = float("inf")
 
@@ -31,7 +31,7 @@ def score_counts(scores: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame
 def cumulative_curve(
     scores: DataFrame,
     by: Sequence[str] = ("model",),
-    buckets: int = DEFAULT_BUCKETS,
+    buckets: int | None = None,
     edges: Sequence[float] | None = None,
 ) -> DataFrame:
     """One row per distinct score with counts at or above it.
@@ -162,13 +162,20 @@ def roc_points(
         first, last = F.col("tp") + F.col("fp") == F.col("n"), F.col("next_n").isNull()
         turns = (F.col("pos") != F.col("next_pos")) | (F.col("n") != F.col("next_n"))
         points = curve.filter(first | last | turns)
-    points = points.select(
-        *by, F.col("p").alias("threshold"), fpr_at().alias("fpr"), recall_at().alias("tpr")
+    point = F.struct(F.col("p").alias("threshold"), fpr_at().alias("fpr"), recall_at().alias("tpr"))
+    origin = F.struct(
+        F.lit(INF).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")
     )
-    origin = curve.groupBy(*by).agg(F.lit(INF).alias("threshold")).select(
-        *by, "threshold", F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")
-    )
-    return points.unionByName(origin)
+    return _with_extra_point(points, by, point, origin)
+
+
+def _with_extra_point(
+    curve: DataFrame, by: Sequence[str], point: Column, extra: Column
+) -> DataFrame:
+    """Every point, and one more per curve next to its highest score: no second pass."""
+    highest = F.col("tp") + F.col("fp") == F.col("n")
+    cells = F.when(highest, F.array(extra, point)).otherwise(F.array(point))
+    return curve.select(*by, F.inline(cells))
 
 
 def pr_points(
@@ -176,28 +183,25 @@ def pr_points(
 ) -> DataFrame:
     """``threshold, precision, recall`` with the trailing ``(null, 1, 0)`` point."""
     curve = cumulative_curve(scores, by) if curve is None else curve
-    points = curve.select(
-        *by,
+    point = F.struct(
         F.col("p").alias("threshold"),
         precision_at().alias("precision"),
         recall_at().alias("recall"),
     )
-    end = curve.groupBy(*by).agg(F.lit(None).cast("double").alias("threshold")).select(
-        *by, "threshold", F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall")
+    end = F.struct(
+        F.lit(None).cast("double").alias("threshold"),
+        F.lit(1.0).alias("precision"),
+        F.lit(0.0).alias("recall"),
     )
-    return points.unionByName(end)
+    return _with_extra_point(curve, by, point, end)
 
 
 def roc_auc(scores: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
     return cumulative_curve(scores, by).groupBy(*by).agg(auc_sum().alias("auc"))
 
 
-def average_precision(
-    scores: DataFrame, by: Sequence[str] = ("model",), buckets: int = DEFAULT_BUCKETS
-) -> DataFrame:
-    return (
-        cumulative_curve(scores, by, buckets).groupBy(*by).agg(ap_sum().alias("auprc"))
-    )
+def average_precision(scores: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
+    return cumulative_curve(scores, by).groupBy(*by).agg(ap_sum().alias("auprc"))
 
 
 def oof_ranking(scores: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:

@@ -33,9 +33,9 @@ def source_seed(source: str | None) -> int:
     return SOURCE_SEED.get(source, sum(map(ord, source)) % 1000)
 
 
-def shuffle_key(seed: int | Column, id_col: str) -> Column:
+def shuffle_key(seed: int | Column, *cols: str) -> Column:
     seed = seed if isinstance(seed, Column) else F.lit(seed)
-    return F.md5(F.concat_ws("|", seed.cast("string"), F.col(id_col).cast("string")))
+    return F.md5(F.concat_ws("|", seed.cast("string"), *[F.col(c).cast("string") for c in cols]))
 
 
 def stratified_folds(
@@ -52,11 +52,11 @@ def stratified_folds(
 
     The order is ``(label, md5(seed|id), id)`` and folds are dealt round-robin. The rank
     is a rank inside even md5 buckets plus the rows in earlier buckets, so one class with
-    most of the rows still spreads over thousands of groups. Rows that share an id within
-    ``by`` need ``tie`` columns to be ordered reproducibly.
+    most of the rows still spreads over thousands of groups. Where ids repeat within
+    ``by``, ``tie`` columns join the key: copies of one id scatter and stay reproducible.
     """
     by = list(by)
-    keyed = df.withColumn("_h", shuffle_key(seed, id_col)).withColumn(
+    keyed = df.withColumn("_h", shuffle_key(seed, id_col, *tie)).withColumn(
         "_b", F.substring("_h", 1, BUCKET_HEX)
     )
     # One row per class and bucket.

@@ -190,6 +190,15 @@ def training_vectors(
     return preparation, balanced_weights(vectors), numeric, categorical
 
 
+def balanced_partitions(rows: DataFrame) -> DataFrame:
+    """Partitions of even size whatever the ids are, in a fixed order inside.
+
+    No key decides the partition, so an id with very many copies is spread out, and a
+    small training set becomes one partition.
+    """
+    return rows.hint("rebalance").sortWithinPartitions(ID, "_tie")
+
+
 def fit_forest(
     df: DataFrame,
     columns: Sequence[str],
@@ -199,7 +208,7 @@ def fit_forest(
 ) -> FittedForest:
     """One forest with given parameters. Equal inputs and seed give an equal forest."""
     preparation, rows, numeric, categorical = training_vectors(df, columns, allow_missing)
-    rows = rows.repartition(ID).sortWithinPartitions(ID, "_tie").persist()
+    rows = balanced_partitions(rows).persist()
     try:
         model = forest(params, seed).fit(rows)
     finally:
@@ -224,12 +233,7 @@ def fit_tuned(
     rows = stratified_folds(
         rows, cfg.inner_folds, seed + INNER_CV_SEED, name="inner", tie=["_tie"]
     )
-    rows = (
-        rows.withColumn("inner", F.col("inner") - 1)
-        .repartition(ID)
-        .sortWithinPartitions(ID, "_tie")
-        .persist()
-    )
+    rows = balanced_partitions(rows.withColumn("inner", F.col("inner") - 1)).persist()
     draws = sample_param_grid(cfg.space, cfg.draws, seed + SEARCH_SEED)
     search = CrossValidator(
         estimator=forest(draws[0], seed),

@@ -18,6 +18,7 @@ from riskfold.operators.features import balanced_weights
 from riskfold.operators.folds import stratified_folds
 from riskfold.operators.models import (
     FittedForest,
+    balanced_partitions,
     fit_meta,
     forest,
     in_parallel,
@@ -64,9 +65,11 @@ def calibrated_forest(
     threads: int = 1,
 ) -> CalibratedForest:
     """Same hyper-parameters on k-1 stratified parts, the map on the remaining part."""
-    vectors = fitted.vectors(train, [ID, LABEL])
-    rows = stratified_folds(vectors, k, seed, name="part")
-    rows = written(rows.repartition(ID).sortWithinPartitions(ID), "calibration")
+    inputs = [*fitted.numeric, *fitted.categorical]
+    tied = train.withColumn("_tie", F.xxhash64(*[col(c) for c in inputs]))
+    vectors = fitted.vectors(tied, [ID, LABEL, "_tie"])
+    rows = stratified_folds(vectors, k, seed, name="part", tie=["_tie"])
+    rows = written(balanced_partitions(rows), "calibration")
 
     def task(i: int):
         seen = balanced_weights(rows.filter(F.col("part") != i))

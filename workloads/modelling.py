@@ -18,7 +18,7 @@ from riskfold.operators import summaries, thresholds
 from riskfold.plans import evaluation, multi_source, scoring, single_source
 from riskfold.sources import artifacts
 from workloads.cohorts import frames, intersection, labels, phenotype
-from workloads.lines import SCORES_SQL, scores, tidy
+from workloads.lines import SCORES_SQL, scores, tidy, wide_scores
 
 SPACE = {
     "trees": range(4, 9),
@@ -144,6 +144,13 @@ def _meta_rows(spark, sf):
     return tidy(models.union_all(list(stage_of(spark, sf, "late").meta_rows.values())))
 
 
+def _meta_fit(spark, sf):
+    """The meta-model of two line scores: an exact fit, so it has an oracle."""
+    meta = models.fit_meta(wide_scores(spark, sf), ["disc", "price"], prefix="")
+    rows = [*meta.coefficients.items(), ("intercept", meta.intercept)]
+    return tidy(spark.createDataFrame(rows, "input string, coefficient double"), 3)
+
+
 def _metas(spark, sf):
     rows = [
         (fold, name, float(v))
@@ -227,7 +234,8 @@ QUERIES = {
     "late_fusion_inner_oof": _meta_rows,
     "late_fusion_base_test": lambda s, d: oof_of(s, d, "late", "base_"),
     "late_fusion_cv": lambda s, d: oof_of(s, d, "late", "multi_late"),
-    "train_meta_logistic": _metas,
+    "train_meta_logistic": _meta_fit,
+    "late_fusion_meta_models": _metas,
     "calibrate_cv": _calibrated,
     "run_performance_matrix": lambda s, d: tidy(thresholds.performance_matrix(run_of(s, d).oof)),
     "run_evaluation_tables": lambda s, d: tidy(evaluation.curve_table(run_of(s, d).oof)),
@@ -247,7 +255,49 @@ QUERIES = {
     "linear_attribution_meta": _linear_meta,
 }
 
+_G = ("gd", "gp", "gb")
+_H = (("hdd", "hdp", "hdb"), ("hdp", "hpp", "hpb"), ("hdb", "hpb", "hbb"))
+
+
+def _det(m) -> str:
+    (a, b, c), (d, e, f), (g, h, i) = m
+    return f"({a} * ({e} * {i} - {f} * {h}) - {b} * ({d} * {i} - {f} * {g}) + {c} * ({d} * {h} - {e} * {g}))"
+
+
+def _cramer(k: int) -> str:
+    """Component ``k`` of the Newton step."""
+    swapped = [[_G[r] if c == k else _H[r][c] for c in range(3)] for r in range(3)]
+    return f"{_det(swapped)} / {_det(_H)}"
+
+
+def _meta_sql() -> str:
+    """Newton steps on half the squared norm, intercept included, plus weighted log-loss."""
+    moments = ", ".join(
+        f"{1 if a == b else 0} + SUM(w * q * (1 - q) * {xa} * {xb}) AS h{a}{b}"
+        for a, xa, b, xb in (
+            ("d", "disc", "d", "disc"), ("d", "disc", "p", "price"), ("d", "disc", "b", "1"),
+            ("p", "price", "p", "price"), ("p", "price", "b", "1"), ("b", "1", "b", "1"),
+        )
+    )
+    return f"""WITH RECURSIVE {SCORES_SQL}, sizes AS (
+        SELECT COUNT(*)::DOUBLE AS total, SUM(y_true)::DOUBLE AS pos FROM lines),
+      rows_ AS (SELECT disc, price, y_true, CASE WHEN y_true = 1 THEN total / (2 * pos)
+                ELSE total / (2 * (total - pos)) END AS w FROM lines, sizes),
+      steps(k, d, p, b) AS (
+        SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE
+        UNION ALL
+        SELECT k + 1, d - {_cramer(0)}, p - {_cramer(1)}, b - {_cramer(2)} FROM (
+          SELECT k, d, p, b, d + SUM(w * (q - y_true) * disc) AS gd, p + SUM(w * (q - y_true) * price) AS gp,
+                 b + SUM(w * (q - y_true)) AS gb, {moments}
+          FROM (SELECT k, d, p, b, disc, price, y_true, w, 1 / (1 + EXP(-(d * disc + p * price + b))) AS q
+                FROM steps, rows_ WHERE k < 12) s GROUP BY k, d, p, b))
+      SELECT 'disc' AS input, ROUND(d, 3) AS coefficient FROM steps WHERE k = 12
+      UNION ALL SELECT 'price', ROUND(p, 3) FROM steps WHERE k = 12
+      UNION ALL SELECT 'intercept', ROUND(b, 3) FROM steps WHERE k = 12"""
+
+
 ORACLES = {
+    "train_meta_logistic": _meta_sql(),
     # Newton steps on half the squared slope plus log-loss, from zero.
     "fit_platt": f"""WITH RECURSIVE {SCORES_SQL}, g AS (
         SELECT model, p AS x, SUM(y_true)::DOUBLE AS pos, COUNT(*)::DOUBLE AS n FROM scores GROUP BY model, p),
