@@ -140,7 +140,11 @@ class AveragePrecision(Evaluator):
         scores = dataset.select(
             F.lit("m").alias("model"), positive_probability().alias("p"), F.col(LABEL)
         )
-        rows = average_precision(scores).collect()
+        scores.persist()  # the trees score the rows once for both passes of the curve
+        try:
+            rows = average_precision(scores).collect()
+        finally:
+            scores.unpersist()
         return float(rows[0].auprc) if rows and rows[0].auprc is not None else 0.0
 
     def isLargerBetter(self) -> bool:
@@ -191,12 +195,12 @@ def training_vectors(
 
 
 def balanced_partitions(rows: DataFrame) -> DataFrame:
-    """Partitions of even size whatever the ids are, in a fixed order inside.
+    """Partitions decided by id and row content, in a fixed order inside.
 
-    No key decides the partition, so an id with very many copies is spread out, and a
-    small training set becomes one partition.
+    So a fit does not depend on how its input was laid out. Copies of one id scatter by
+    content; where even equal rows fill a partition, the rebalance splits it by size.
     """
-    return rows.hint("rebalance").sortWithinPartitions(ID, "_tie")
+    return rows.hint("rebalance", ID, "_tie").sortWithinPartitions(ID, "_tie")
 
 
 def fit_forest(

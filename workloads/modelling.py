@@ -29,7 +29,7 @@ SPACE = {
     "subsample": (0.60, 0.95),
 }
 CFG = models.SearchConfig(
-    outer_folds=2, inner_folds=2, draws=1, seed=42, space=SPACE, parallelism=4
+    outer_folds=2, inner_folds=2, draws=1, seed=42, space=SPACE, parallelism=8
 )
 CALIBRATION_FOLDS = 2
 _made: dict[tuple, object] = {}
@@ -51,7 +51,7 @@ def cohorts_of(spark, sf) -> multi_source.Cohorts:
 
 def stage_of(spark, sf, stage: str) -> multi_source.Run:
     return _once(
-        spark, sf, stage,
+        spark, sf, f"stage-{stage}",
         lambda: multi_source.evaluate(
             cohorts_of(spark, sf), CFG, "sigmoid", CALIBRATION_FOLDS, (stage,)
         ),
