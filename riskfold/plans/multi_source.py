@@ -24,13 +24,12 @@ from riskfold.operators.cohort import (
     join_intersection,
     join_label,
     join_probability,
-    only_ids,
-    without_ids,
 )
 from riskfold.operators.folds import (
     CALIBRATION_SEED,
     FINAL_SEED,
     derive_seed,
+    nested_folds,
     source_seed,
     stratified_folds,
 )
@@ -51,7 +50,12 @@ OUT = [ID, "fold_id", LABEL]
 
 @dataclass
 class Cohorts:
-    """Labelled cohorts of a run: ``wide`` is the intersection with its outer folds."""
+    """Labelled cohorts of a run.
+
+    ``wide`` is the intersection, ``expanded`` the cohort of each source. Both carry the
+    outer fold of the subject and its inner fold under every outer fold, null for subjects
+    outside the intersection: holding subjects out is a filter, not a join.
+    """
 
     wide: DataFrame
     expanded: dict[str, DataFrame]
@@ -71,24 +75,50 @@ class Cohorts:
     def test(self, fold: int) -> DataFrame:
         return self.wide.filter(F.col("fold_id") == fold)
 
+    def base_train(self, name: str, fold: int, inner: int | None = None) -> DataFrame:
+        """Expanded rows of one source outside the outer-test and inner-validation sets."""
+        kept = F.col("fold_id") != fold
+        if inner is not None:
+            kept = kept & (F.col("inner_folds")[fold] != inner)
+        return self.expanded[name].filter(F.col("fold_id").isNull() | kept)
+
+    def base_held(self, name: str, fold: int, inner: int | None = None) -> DataFrame:
+        """Expanded rows of the held-out subjects: outer-test, or inner-validation."""
+        if inner is None:
+            return self.expanded[name].filter(F.col("fold_id") == fold)
+        held = (F.col("fold_id") != fold) & (F.col("inner_folds")[fold] == inner)
+        return self.expanded[name].filter(held)
+
+
+RESERVED = (ID, LABEL, "fold_id", "inner_folds")
+
 
 def build_cohorts(
     features: Mapping[str, DataFrame], labels: DataFrame, cfg: SearchConfig, order: Sequence[str] = ()
 ) -> Cohorts:
-    """Expanded cohorts, and the intersection with one outer fold per subject.
+    """Expanded cohorts and the intersection, with every fold of the run assigned.
 
-    Each is written once: every fit of the run starts from it.
+    Each is written once: every fit of the run starts from a filtered scan of it.
     """
     columns = {n: [c for c in df.columns if c != ID] for n, df in features.items()}
-    every = [c for cols in columns.values() for c in cols]
-    if len({c.lower() for c in every}) < len(every):
-        raise ValueError("a feature column name occurs in two sources; rename one")
+    every = [c.lower() for cols in columns.values() for c in cols] + list(RESERVED)
+    if len(set(every)) < len(every):
+        raise ValueError(f"feature names must differ between sources and from {RESERVED}")
     guard_labels(labels, "labels")
-    expanded = {n: written(join_label(df, labels), f"expanded-{n}") for n, df in features.items()}
     wide = join_intersection(features, labels, order=order)
-    folds = stratified_folds(wide.select(ID, LABEL), cfg.outer_folds, cfg.seed)
-    wide = written(wide.join(folds.select(ID, "fold_id"), ID), "intersection")
+    outer = stratified_folds(wide.select(ID, LABEL), cfg.outer_folds, cfg.seed)
+    inner = nested_folds(outer, cfg.outer_folds, cfg.inner_folds, cfg.seed)
+    # One entry per outer fold.
+    pairs = F.collect_list(F.struct("outer_fold", "inner_fold"))
+    plan = written(
+        inner.groupBy(ID, "fold_id").agg(F.map_from_entries(pairs).alias("inner_folds")), "folds"
+    )
+    wide = written(wide.join(plan, ID), "intersection")
     guard_labels(wide, "intersection cohort")
+    expanded = {
+        n: written(join_label(df, labels).join(plan, ID, "left"), f"expanded-{n}")
+        for n, df in features.items()
+    }
     return Cohorts(wide, expanded, columns)
 
 
@@ -123,25 +153,18 @@ def inner_oof(c: Cohorts, fold: int, cfg: SearchConfig) -> DataFrame:
     For every inner fold and source the base model trains on the expanded cohort minus
     the outer-test and inner-validation ids and scores the validation ids.
     """
-    train, test_ids = c.train(fold), c.test(fold).select(ID)
-    inner = stratified_folds(
-        train.select(*OUT), cfg.inner_folds, cfg.seed + fold, name="inner_fold"
-    )
-    inner = written(inner, f"inner-{fold}")
+    rows = c.train(fold).select(*OUT, F.col("inner_folds")[fold].alias("inner_fold"))
 
     def task(j: int, name: str):
-        held = inner.filter(F.col("inner_fold") == j).select(ID)
         seed = derive_seed("late_inner", fold, name, j)
-        base = without_ids(c.expanded[name], test_ids, held)
-        model = fit_tuned(base, c.columns[name], cfg, seed)
-        scored = model.predict(only_ids(c.expanded[name], held))
-        return scored.withColumn("model", F.lit(name))
+        model = fit_tuned(c.base_train(name, fold, j), c.columns[name], cfg, seed)
+        return model.predict(c.base_held(name, fold, j)).withColumn("model", F.lit(name))
 
     jobs = [
         (lambda j=j, n=n: task(j, n)) for j in range(1, cfg.inner_folds + 1) for n in c.names
     ]
-    long = written(union_all(in_parallel(train.sparkSession, jobs, cfg.parallelism)), f"inner-oof-{fold}")
-    rows = inner
+    scored = union_all(in_parallel(rows.sparkSession, jobs, cfg.parallelism))
+    long = written(scored, f"inner-oof-{fold}")
     for name in c.names:
         rows = join_probability(rows, long.filter(F.col("model") == name).select(ID, "p"), f"p_{name}")
     rows = written(rows, f"meta-train-{fold}")
@@ -153,9 +176,9 @@ def base_test(c: Cohorts, fold: int, cfg: SearchConfig) -> DataFrame:
     test = c.test(fold).select(*OUT)
 
     def task(name: str):
-        base = without_ids(c.expanded[name], test)
-        model = fit_tuned(base, c.columns[name], cfg, derive_seed("late_base", fold, name))
-        return model.predict(only_ids(c.expanded[name], test))
+        seed = derive_seed("late_base", fold, name)
+        model = fit_tuned(c.base_train(name, fold), c.columns[name], cfg, seed)
+        return model.predict(c.base_held(name, fold))
 
     jobs = [(lambda n=n: task(n)) for n in c.names]
     rows = test
