@@ -15,7 +15,6 @@ ID, LABEL = "subject_id", "y_true"
 EXAMPLES = 10
 
 # The shipped study set-up. Every one is a parameter below.
-LAB_ALL_COLUMNS = None
 SEROLOGY_COLUMNS = ["ANCA EU", "CBir1 EU", "OmpC EU", "IgA ASCA EU", "IgG ASCA EU"]
 CLINICAL_COLUMNS = [
     "Gender_Self", "Jewish_Self", "Diagnosis", "AgeDx", "Smoking", "FamilyHistory",

@@ -8,7 +8,6 @@ import uuid
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from riskfold.functions import scalars
 from riskfold.functions.scaling import shared_dir

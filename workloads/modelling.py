@@ -17,7 +17,7 @@ from riskfold.operators import attribution, calibration, cohort, curves, models
 from riskfold.operators import summaries, thresholds
 from riskfold.plans import evaluation, multi_source, scoring, single_source
 from riskfold.sources import artifacts
-from workloads.cohorts import frames, intersection, labels, phenotype
+from workloads.cohorts import frames, labels, phenotype
 from workloads.lines import SCORES_SQL, scores, tidy, wide_scores
 
 SPACE = {
