@@ -9,10 +9,11 @@ SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from workloads.session import local_session
 
     session = local_session("tests")
+    session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
     session.conf.set("spark.sql.shuffle.partitions", "4")
     return session
 
