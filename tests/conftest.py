@@ -12,8 +12,8 @@ SF = "/root/testdata/sf0.001"
 def spark(tmp_path_factory):
     from workloads.session import local_session
 
-    session = local_session("tests")
-    session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
+    shared = str(tmp_path_factory.mktemp("shared"))
+    session = local_session("tests", spark__checkpoint__dir=shared)
     session.conf.set("spark.sql.shuffle.partitions", "4")
     return session
 

@@ -7,7 +7,8 @@ import os
 from pyspark.sql import SparkSession
 
 
-def local_session(name: str, cpus: int | None = None) -> SparkSession:
+def local_session(name: str, cpus: int | None = None, **conf: str) -> SparkSession:
+    """``conf``: more settings, with ``__`` for each dot in their names."""
     cpus = cpus or os.cpu_count() or 8
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
@@ -18,6 +19,7 @@ def local_session(name: str, cpus: int | None = None) -> SparkSession:
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config(map={k.replace("__", "."): v for k, v in conf.items()})
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
