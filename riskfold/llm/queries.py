@@ -6,10 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from riskfold.llm import bpe, langid, mixing, simhash
+from riskfold.llm import bpe, fingerprint, langid, mixing, simhash
 from riskfold.llm.tables import table
 
 
+def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprint.neighbours(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        F.char_length("text").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprint.as_text(F.col("fp")).alias("fingerprint"),
+        fingerprint.as_text(F.col("edited_fp")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
+
 def op3_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "source", "position", "slot", "block")
@@ -40,6 +53,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_document_fingerprints": op1_document_fingerprints,
     "op3_pfair_mixing": op3_pfair_mixing,
     "op6_byte_level_bpe": op6_byte_level_bpe,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
