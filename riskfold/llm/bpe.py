@@ -31,10 +31,13 @@ from pyspark.sql import types as T
 
 from riskfold.llm.tables import let
 
-BUCKETS = 1 << 15
+BUCKETS = 1 << 12
 FOLD_BYTES = 256
-MAX_WORDS = 1_000_000
+PLACES = 4096  # above FOLD_BYTES
+NO_RANK = 1 << 31
+MAX_WORDS = 500_000
 LONG_TEXT = 1 << 22
+ROWS = 256
 # Unicode white space, as the word pattern has it: words keep at most one blank before them.
 SPACE = "\t-\r \x85\xa0  -     　"
 COARSE = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
@@ -45,58 +48,74 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def rank_lookup(ranks: dict[bytes, int]):
-    """Column function: rank of a string of byte characters, null if it has none."""
+def rank_table(ranks: dict[bytes, int]) -> Column:
+    """The rank map as a literal: small maps from strings of byte characters, by hash."""
     buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
     for token, rank in ranks.items():
         key = token.decode("latin-1")
         buckets[xxhash.xxh64_intdigest(key.encode(), 42) & (BUCKETS - 1)][key] = rank
-    literal = F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
+    return F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
 
-    def rank(key: Column) -> Column:
-        slot = F.xxhash64(key).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
-        return F.element_at(F.get(literal, slot), key)
 
-    return rank
+def merge_all(words: Column, ranks: dict[bytes, int]) -> Column:
+    """Ids of each word of an array; the literal stands once in the plan."""
+
+    def rank_in(table: Column):
+        def rank(key: Column) -> Column:
+            slot = F.xxhash64(key).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
+            return F.element_at(F.get(table, slot), key)
+
+        return rank
+
+    return let(
+        rank_table(ranks), lambda t: F.transform(words, lambda w: merge_words(w, rank_in(t)))
+    )
 
 
 def merge_words(word: Column, rank) -> Column:
-    """Ids of one word of byte characters: the pair of least rank is merged until none has a rank."""
+    """Ids of one word of byte characters: the pair of least rank is merged until none has a rank.
 
-    def pair(parts: Column, i: Column) -> Column:
-        return rank(F.concat(F.get(parts, i), F.get(parts, i + 1)))
+    The state of the fold is an array of pieces, each with the rank of its pair with the next.
+    """
 
-    def start(parts: Column) -> Column:
-        pairs = F.transform(F.sequence(F.lit(0), F.size(parts) - 2), lambda i: pair(parts, i))
-        return F.struct(parts.alias("parts"), pairs.alias("pairs"))
+    def known(key: Column) -> Column:
+        return F.coalesce(rank(key), F.lit(NO_RANK)).cast("long")
+
+    def piece(text: Column, following: Column) -> Column:
+        return F.struct(text.alias("t"), known(F.concat(text, following)).alias("r"))
+
+    def least(state: Column) -> Column:
+        """Rank and place of the pair to merge, as one number; ties go to the left."""
+        return F.array_min(F.transform(state, lambda x, i: x["r"] * PLACES + i))
 
     def merge(state: Column, _: Column) -> Column:
-        least = F.array_min(state["pairs"])
-        at = F.array_position(state["pairs"], least).cast("int")
-        return F.when(least.isNull(), state).otherwise(let(at, lambda p: joined(state, p)))
+        return let(
+            least(state),
+            lambda k: F.when(k >= NO_RANK * PLACES, state).otherwise(
+                let((k % PLACES).cast("int"), lambda p: joined(state, p))
+            ),
+        )
 
     def joined(state: Column, p: Column) -> Column:
-        parts, pairs = state["parts"], state["pairs"]
-        n = F.size(parts)
-        whole = F.concat(F.get(parts, p - 1), F.get(parts, p))
-        kept = F.concat(F.slice(parts, 1, p - 1), F.array(whole), F.slice(parts, p + 2, n))
-
-        def renewed(merged: Column) -> Column:
-            left = F.when(p > 1, F.array(pair(merged, p - 2))).otherwise(F.array().cast("array<int>"))
-            right = F.when(p < n - 1, F.array(pair(merged, p - 1))).otherwise(
-                F.array().cast("array<int>")
-            )
-            pairs_now = F.concat(
-                F.slice(pairs, 1, F.greatest(p - 2, F.lit(0))), left, right, F.slice(pairs, p + 2, n)
-            )
-            return F.struct(merged.alias("parts"), pairs_now.alias("pairs"))
+        def renewed(whole: Column) -> Column:
+            def of(x: Column, i: Column) -> Column:
+                return (
+                    F.when(i == p, piece(whole, F.get(state, p + 2)["t"]))
+                    .when(i == p - 1, piece(x["t"], whole))
+                    .when(i != p + 1, x)
+                )
+
+            return F.filter(F.transform(state, of), lambda x: x.isNotNull())
+
+        return let(F.concat(F.get(state, p)["t"], F.get(state, p + 1)["t"]), renewed)
 
-        return let(kept, renewed)
+    def start(parts: Column) -> Column:
+        return F.transform(parts, lambda t, i: piece(t, F.get(parts, i + 1)))
 
     def folded(w: Column) -> Column:
         steps = F.sequence(F.lit(1), F.length(w) - 1)
-        state = let(F.split(w, ""), start)
-        return F.aggregate(steps, state, merge, lambda s: F.transform(s["parts"], rank))
+        done = F.aggregate(steps, let(F.split(w, ""), start), merge)
+        return F.transform(done, lambda x: rank(x["t"]))
 
     whole = rank(word)
     return (
@@ -164,6 +183,13 @@ def _words(text: str) -> Iterator[str]:
     return (m.group() for m in COARSE.finditer(text))
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows, so that little is held as Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def _lists(values: list, kind: pa.DataType) -> pa.ListArray:
     offsets = np.cumsum([0, *map(len, values)], dtype=np.int32)
     flat = np.concatenate([np.zeros(0, np.int32), *values])
@@ -176,19 +202,23 @@ def encode(
     pattern: str,
     text_col: str = "text",
     ids: str = "ids",
+    keep: list[str] | None = None,
     max_words: int = MAX_WORDS,
 ) -> DataFrame:
-    """All columns of ``docs`` and its ids, packed. Each match of ``pattern`` is merged apart."""
+    """All columns of ``docs``, or those in ``keep``, and the ids of the text, packed.
+
+    Each match of ``pattern`` is merged apart. Texts that are not kept leave after the first step.
+    """
     spark = docs.sparkSession
-    docs = docs.drop(ids)
-    names, at = docs.columns, docs.columns.index(text_col)
+    names = [c for c in (docs.columns if keep is None else keep) if c != ids]
+    docs = docs.select(*names, F.col(text_col).alias("_text"))
     held = spark.sparkContext.broadcast(ranks)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Numbers(regex.compile(pattern))
-        for batch in batches:
+        for batch in sliced(batches):
             codes, words, pieces, fresh = [], [], [], []
-            for text in batch.column(at).to_pylist():
+            for text in batch.column(len(names)).to_pylist():
                 fresh.append(len(known) > max_words)
                 if fresh[-1]:
                     known = _Numbers(known.pattern)
@@ -198,7 +228,7 @@ def encode(
                 pieces.append(new_pieces)
             yield pa.RecordBatch.from_arrays(
                 [
-                    *batch.columns,
+                    *batch.columns[: len(names)],
                     _lists(codes, pa.int32()),
                     pa.array(words, pa.list_(pa.list_(pa.int32()))),
                     pa.array(pieces, pa.list_(pa.string())),
@@ -210,7 +240,7 @@ def encode(
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces: list[bytes] = []
         words: list[bytes] = []
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
             columns = (batch.column(batch.schema.get_field_index(c)) for c in batch.schema.names[-5:])
             codes, new_words, new_pieces, fresh, merged = columns
@@ -228,12 +258,12 @@ def encode(
             yield pa.RecordBatch.from_arrays([*kept, pa.array(out, pa.binary())], names=[*names, ids])
 
     extra = "_codes array<int>, _words array<array<int>>, _pieces array<string>, _fresh boolean"
-    schema = T.StructType([*docs.schema.fields, *T._parse_datatype_string(extra).fields])
-    rank = rank_lookup(ranks)
+    kept_fields = docs.schema.fields[: len(names)]
+    schema = T.StructType([*kept_fields, *T._parse_datatype_string(extra).fields])
     numbered = docs.mapInArrow(number, schema)
-    merged = numbered.withColumn("_merged", F.transform("_pieces", lambda w: merge_words(w, rank)))
+    merged = numbered.withColumn("_merged", merge_all(F.col("_pieces"), ranks))
     return merged.mapInArrow(
-        assemble, T.StructType([*docs.schema.fields, T.StructField(ids, T.BinaryType())])
+        assemble, T.StructType([*kept_fields, T.StructField(ids, T.BinaryType())])
     )
 
 

@@ -39,7 +39,7 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = bpe.encode(docs, ranks, public_tokenizers.PATTERN)
+    found = bpe.encode(docs, ranks, public_tokenizers.PATTERN, keep=["doc_id"])
     return found.select(
         "doc_id",
         (F.length("ids") / 4).cast("long").alias("n_tokens"),

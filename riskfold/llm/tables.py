@@ -13,8 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` computed once, also inside lambdas."""
-    return F.get(F.transform(F.array(value), body), 0)
+    """``body(value)`` with ``value`` computed once, also inside lambdas.
+
+    A fold over no elements ends with ``body`` of its start. (Taking the only element of a
+    transformed array works as well, but derives the type of the whole tree for every row.)
+    """
+    return F.aggregate(F.array().cast("array<int>"), value, lambda x, _: x, body)
 
 
 def join_counted(
