@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from riskfold.llm import bpe, chat, fingerprint, langid, mixing, simhash
+from riskfold.llm import bpe, chat, fingerprint, langid, lm, mixing, simhash
+from riskfold.functions.scaling import written
 from riskfold.llm.tables import table
 
 
@@ -60,6 +61,23 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = lm.held_out(F.col("doc_id"))
+    training = docs.filter(~held).select("text")
+    vocab = written(lm.word_counts(training), "word-counts")
+    model = lm.learn(training, vocab)
+    return lm.score(docs, model, vocab).select(
+        "doc_id",
+        held.alias("held_out"),
+        "n_tokens",
+        "n_known",
+        F.lit(model.tokens).cast("long").alias("train_tokens"),
+        "base_score",
+        "score",
+    )
+
+
 QUERIES = {
     "op1_document_fingerprints": op1_document_fingerprints,
     "op3_pfair_mixing": op3_pfair_mixing,
@@ -67,5 +85,6 @@ QUERIES = {
     "op6_byte_level_bpe": op6_byte_level_bpe,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_language_id": op9_language_id,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 ORACLES: dict[str, str] = {}
