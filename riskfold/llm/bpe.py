@@ -31,11 +31,11 @@ from pyspark.sql import types as T
 
 from riskfold.llm.tables import let
 
-BUCKETS = 1 << 12
+BUCKETS = 1 << 15
 FOLD_BYTES = 256
 PLACES = 4096  # above FOLD_BYTES
 NO_RANK = 1 << 31
-MAX_WORDS = 500_000
+MAX_WORDS = 300_000
 LONG_TEXT = 1 << 22
 ROWS = 256
 # Unicode white space, as the word pattern has it: words keep at most one blank before them.
@@ -157,24 +157,24 @@ class _Numbers(dict):
     def __init__(self, pattern: regex.Pattern):
         self.pattern = pattern
         self.pieces: dict[str, int] = {}
-        self.new_words: list[list[int]] = []
+        self.new_words: list[int] = []  # pieces of each
+        self.new_codes: list[int] = []  # pieces of all, one after the other
         self.new_pieces: list[str] = []
 
     def __missing__(self, word: str) -> int:
-        own = []
-        for piece in self.pattern.findall(word):
-            if piece not in self.pieces:
-                self.pieces[piece] = len(self.pieces)
+        found = self.pattern.findall(word)
+        for piece in found:
+            number = self.pieces.get(piece)
+            if number is None:
+                number = self.pieces[piece] = len(self.pieces)
                 self.new_pieces.append(piece.encode().decode("latin-1"))
-            own.append(self.pieces[piece])
-        self.new_words.append(own)
+            self.new_codes.append(number)
+        self.new_words.append(len(found))
         self[word] = len(self)
         return len(self) - 1
 
-    def taken(self) -> tuple[list[list[int]], list[str]]:
-        out = self.new_words, self.new_pieces
-        self.new_words, self.new_pieces = [], []
-        return out
+    def clear_new(self) -> None:
+        self.new_words, self.new_codes, self.new_pieces = [], [], []
 
 
 def _words(text: str) -> Iterator[str]:
@@ -190,10 +190,21 @@ def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, ROWS)
 
 
-def _lists(values: list, kind: pa.DataType) -> pa.ListArray:
-    offsets = np.cumsum([0, *map(len, values)], dtype=np.int32)
-    flat = np.concatenate([np.zeros(0, np.int32), *values])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, kind))
+def _lists(sizes: list[int], values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), values)
+
+
+def _parts(lists: pa.ListArray, values: bytes, width: int) -> list[bytes]:
+    """The slices of ``values`` that the lists stand for."""
+    at = lists.offsets.to_numpy().astype(np.int64)
+    at = ((at - at[0]) * width).tolist()
+    return [values[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+
+def pack(ids: pa.ListArray | list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    flat = ids.flatten().to_numpy(zero_copy_only=False) if isinstance(ids, pa.ListArray) else ids
+    return np.asarray(flat, "<u4").tobytes()
 
 
 def encode(
@@ -203,81 +214,97 @@ def encode(
     text_col: str = "text",
     ids: str = "ids",
     keep: list[str] | None = None,
+    decoded: str | None = None,
     max_words: int = MAX_WORDS,
 ) -> DataFrame:
     """All columns of ``docs``, or those in ``keep``, and the ids of the text, packed.
 
     Each match of ``pattern`` is merged apart. Texts that are not kept leave after the first step.
+    ``decoded`` names one more column, the bytes to which the ids decode.
     """
     spark = docs.sparkSession
-    names = [c for c in (docs.columns if keep is None else keep) if c != ids]
+    added = [ids, *([decoded] if decoded else [])]
+    names = [c for c in (docs.columns if keep is None else keep) if c not in added]
     docs = docs.select(*names, F.col(text_col).alias("_text"))
     held = spark.sparkContext.broadcast(ranks)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Numbers(regex.compile(pattern))
         for batch in sliced(batches):
-            codes, words, pieces, fresh = [], [], [], []
+            # A batch that would pass the bound starts anew as a whole.
+            fresh = len(known) > max_words
+            if fresh:
+                known = _Numbers(known.pattern)
+            codes, counts = [], []
             for text in batch.column(len(names)).to_pylist():
-                fresh.append(len(known) > max_words)
-                if fresh[-1]:
-                    known = _Numbers(known.pattern)
+                before = len(known), len(known.pieces)
                 codes.append(np.fromiter(map(known.__getitem__, _words(text or "")), np.int32))
-                new_words, new_pieces = known.taken()
-                words.append(new_words)
-                pieces.append(new_pieces)
+                counts.append((len(known) - before[0], len(known.pieces) - before[1]))
+            words = _lists(known.new_words, pa.array(known.new_codes, pa.int32()))
             yield pa.RecordBatch.from_arrays(
                 [
                     *batch.columns[: len(names)],
-                    _lists(codes, pa.int32()),
-                    pa.array(words, pa.list_(pa.list_(pa.int32()))),
-                    pa.array(pieces, pa.list_(pa.string())),
-                    pa.array(fresh),
+                    _lists([len(c) for c in codes], pa.array(np.concatenate(codes))),
+                    _lists([n for n, _ in counts], words),
+                    _lists([n for _, n in counts], pa.array(known.new_pieces, pa.string())),
+                    pa.array([fresh] + [False] * (len(codes) - 1)),
                 ],
                 names=[*names, "_codes", "_words", "_pieces", "_fresh"],
             )
+            known.clear_new()
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces: list[bytes] = []
         words: list[bytes] = []
+        texts = decoder(held.value) if decoded else None
         for batch in sliced(batches):
-            out = []
-            columns = (batch.column(batch.schema.get_field_index(c)) for c in batch.schema.names[-5:])
-            codes, new_words, new_pieces, fresh, merged = columns
-            for k in range(batch.num_rows):
-                if fresh[k].as_py():
+            starts = np.flatnonzero(batch.column(len(names) + 3).to_numpy(zero_copy_only=False))
+            edges = sorted({0, *starts.tolist(), batch.num_rows})
+            for a, b in zip(edges, edges[1:], strict=False):
+                if a in starts:
                     pieces, words = [], []
-                for piece, own in zip(new_pieces[k].as_py(), merged[k].as_py(), strict=True):
-                    if own is None:
-                        own = merge_long(piece.encode("latin-1"), held.value)
-                    pieces.append(np.array(own, "<u4").tobytes())
-                words += [b"".join([pieces[c] for c in own]) for own in new_words[k].as_py()]
-                found = codes[k].values.to_numpy().tolist()
-                out.append(b"".join(map(words.__getitem__, found)))
-            kept = batch.columns[: len(names)]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(out, pa.binary())], names=[*names, ids])
+                part = batch.slice(a, b - a)
+                codes, new_words, new_pieces, _, merged = part.columns[len(names) :]
+                merged = merged.flatten()
+                own = _parts(merged, pack(merged), 4)
+                for i in np.flatnonzero(merged.is_null().to_numpy(zero_copy_only=False)):
+                    long = new_pieces.flatten()[int(i)].as_py().encode("latin-1")
+                    own[i] = pack(merge_long(long, held.value))
+                pieces += own
+                new_words = new_words.flatten()
+                numbers = new_words.flatten().to_pylist()
+                for found in _parts(new_words, numbers, 1):
+                    words.append(b"".join([pieces[c] for c in found]))
+                numbers = codes.flatten().to_pylist()
+                out = [b"".join([words[c] for c in found]) for found in _parts(codes, numbers, 1)]
+                kept = [*part.columns[: len(names)], pa.array(out, pa.binary())]
+                if decoded:
+                    kept.append(pa.array(map(texts, out), pa.binary()))
+                yield pa.RecordBatch.from_arrays(kept, names=[*names, *added])
 
     extra = "_codes array<int>, _words array<array<int>>, _pieces array<string>, _fresh boolean"
     kept_fields = docs.schema.fields[: len(names)]
     schema = T.StructType([*kept_fields, *T._parse_datatype_string(extra).fields])
     numbered = docs.mapInArrow(number, schema)
     merged = numbered.withColumn("_merged", merge_all(F.col("_pieces"), ranks))
-    return merged.mapInArrow(
-        assemble, T.StructType([*kept_fields, T.StructField(ids, T.BinaryType())])
-    )
+    binary = [T.StructField(c, T.BinaryType()) for c in added]
+    return merged.mapInArrow(assemble, T.StructType([*kept_fields, *binary]))
 
 
-def decode(packed: Column, ranks: dict[bytes, int]) -> Column:
-    """Bytes of packed ids, as a binary column."""
+def decoder(ranks: dict[bytes, int]):
+    """Function from packed ids to the bytes of all their tokens."""
     pieces = [b""] * (max(ranks.values(), default=-1) + 1)
     for token, rank in ranks.items():
         pieces[rank] = token
+    return lambda packed: b"".join([pieces[i] for i in np.frombuffer(packed, "<u4").tolist()])
+
+
+def decode(packed: Column, ranks: dict[bytes, int]) -> Column:
+    """Bytes of packed ids, as a binary column; null stays null."""
+    held = decoder(ranks)
 
     @F.pandas_udf(T.BinaryType())
     def of(series):
-        return series.map(
-            lambda b: b"".join(map(pieces.__getitem__, np.frombuffer(b, "<u4").tolist())),
-            na_action="ignore",
-        )
+        return series.map(held, na_action="ignore")
 
     return of(packed)

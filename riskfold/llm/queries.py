@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from riskfold.llm import bpe, chat, fingerprint, langid, lm, mixing, simhash
+from riskfold.llm import bpe, chat, fingerprint, html, langid, lm, mixing, simhash
 from riskfold.functions.scaling import written
 from riskfold.llm.tables import table
 
@@ -24,6 +24,12 @@ def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = html.train(html.labelled_pages())
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html.extract(pages, model).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op3_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "source", "position", "slot", "block")
@@ -40,12 +46,13 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = bpe.encode(docs, ranks, public_tokenizers.PATTERN, keep=["doc_id"])
+    pattern = public_tokenizers.PATTERN
+    found = bpe.encode(docs, ranks, pattern, keep=["doc_id"], decoded="decoded")
     return found.select(
         "doc_id",
         (F.length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(bpe.decode(F.col("ids"), ranks), 256).alias("decoded_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
 
@@ -80,6 +87,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_document_fingerprints": op1_document_fingerprints,
+    "op2_html_extraction": op2_html_extraction,
     "op3_pfair_mixing": op3_pfair_mixing,
     "op5_chat_formatting": op5_chat_formatting,
     "op6_byte_level_bpe": op6_byte_level_bpe,
