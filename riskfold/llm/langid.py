@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 DIM = 1024
 ORDER = 3
 BLOCK_CHARS = 1 << 20
-BLOCK_DOCS = 512
-BLOCK_GRAMS = 1 << 13
+BLOCK_DOCS = 256
+BLOCK_GRAMS = 1 << 11
 SHARPNESS = 12.0
 UNKNOWN = "und"
 
@@ -196,6 +196,8 @@ def identify(
                 best[part.start + i], share[part.start + i] = names[k], near[i, k]
         return pd.DataFrame({lang: best, score: share})
 
+    # Else a filter on the result would be pushed below it and predict again.
+    predict = predict.asNondeterministic()
     found = docs.withColumn("_found", predict(F.col(text_col)))
     keep = [c for c in docs.columns if c not in (lang, score)]
     return found.select(*keep, f"_found.{lang}", f"_found.{score}")

@@ -60,7 +60,8 @@ def fingerprint(text: Column, shingle: int = 3) -> Column:
         found = np.fromiter((fingerprint_text(t, shingle) for t in texts), np.uint64, len(texts))
         return pd.Series(found.view(np.int64))
 
-    return of(text)
+    # Else a filter on the result would be pushed below it and hash again.
+    return of.asNondeterministic()(text)
 
 
 def as_hex(fp: Column) -> Column:
