@@ -89,23 +89,26 @@ def merged(parts: DataFrame, by: list[str], fp: str = "fingerprint", k: int = K)
     return kept.groupBy(*by).agg(F.sort_array(F.collect_list("_h")).alias(fp))
 
 
-def _numbered_ranges(rows: DataFrame, key: str, name: str) -> tuple[DataFrame, list[float]]:
-    """Adds the number of each row's range of ``key``, and the largest key of each range.
+def range_starts(rows: DataFrame, key: Column, width: int) -> list[float]:
+    """Greatest keys of about ``width`` ranges of equal size, from the greatest down.
 
-    Ranges run from the greatest key down and begin at keys that occur, from a sketch of the keys.
+    They occur as keys; a sketch of the keys finds them.
     """
-    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) * SPREAD
-    steps = [i / width for i in range(1, width)]
+    steps = [i / width for i in range(1, width)] or [0.5]
     cuts, top = rows.agg(
         F.percentile_approx(key, steps, width * EDGE_ACCURACY), F.max(key)
     ).first()
-    starts = sorted({*(cuts or []), top if top is not None else 0.0}, reverse=True)
+    return sorted({*(cuts or []), top if top is not None else 0.0}, reverse=True)
+
+
+def with_range(rows: DataFrame, key: Column, starts: list[float], name: str) -> DataFrame:
+    """Adds the number of each row's range; range 0 has the greatest keys."""
     splits = [-float("inf"), *(-e for e in starts[1:]), float("inf")]
     if len(splits) < 3:
-        return rows.withColumn(name, F.lit(0)), starts
-    turned = rows.withColumn("_minus", -F.col(key))
+        return rows.withColumn(name, F.lit(0))
+    turned = rows.withColumn("_minus", -key)
     found = Bucketizer(splits=splits, inputCol="_minus", outputCol=name).transform(turned)
-    return found.withColumn(name, F.col(name).cast("int")).drop("_minus"), starts
+    return found.withColumn(name, F.col(name).cast("int")).drop("_minus")
 
 
 def edit(text: Column, following: Column) -> Column:
@@ -136,7 +139,9 @@ def neighbours(
         order.alias("_long"),
         order.cast("double").alias("_key"),
     )
-    rows, starts = _numbered_ranges(rows, "_key", "_range")
+    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * SPREAD
+    starts = range_starts(rows, F.col("_key"), width)
+    rows = with_range(rows, F.col("_key"), starts, "_range")
     first_of = F.get(F.array(*[F.lit(float(e)) for e in starts]), F.col("_range"))
     before = F.pmod(F.col("_range") - 1, F.lit(len(starts)))
     own = F.struct(F.col("_range").alias("range"), F.lit(0).alias("guest"))

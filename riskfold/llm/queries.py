@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from riskfold.llm import bpe, chat, fingerprint, html, langid, lm, mixing, simhash
-from riskfold.functions.scaling import written
+from riskfold.llm import bpe, chat, fingerprint, html, langid, lm, mixing, simhash, tokenfile
+from riskfold.functions.scaling import shared_dir, written
 from riskfold.llm.tables import table
 
 
@@ -35,6 +37,17 @@ def op3_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "position", "slot", "block")
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        ids = tokenfile.tokenize(docs, f.read(), end=1)
+    path = f"{shared_dir(spark)}/token-ids-{uuid.uuid4().hex}"
+    tokenfile.write(docs, ids, path)
+    return tokenfile.read(spark, path).select(
+        "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32")
+    )
+
+
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
@@ -89,6 +102,7 @@ QUERIES = {
     "op1_document_fingerprints": op1_document_fingerprints,
     "op2_html_extraction": op2_html_extraction,
     "op3_pfair_mixing": op3_pfair_mixing,
+    "op4_token_files": op4_token_files,
     "op5_chat_formatting": op5_chat_formatting,
     "op6_byte_level_bpe": op6_byte_level_bpe,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
