@@ -18,7 +18,6 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -126,13 +125,14 @@ def learn(
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for batch in batches:
-            rows = batch.to_pydict()
-            for part in blocks(rows):
-                langs = rows["lang"][part]
-                names = sorted(set(langs))
-                owners = np.array([names.index(x) for x in langs])
-                for name, vector in zip(names, bundles(rows["text"][part], dim, order, owners), strict=True):
-                    total[name] = total.get(name, 0) + vector
+            for at in range(0, batch.num_rows, BLOCK_DOCS):
+                rows = batch.slice(at, BLOCK_DOCS).to_pydict()
+                for part in blocks(rows):
+                    langs = rows["lang"][part]
+                    names = sorted(set(langs))
+                    owners = np.array([names.index(x) for x in langs])
+                    for name, vector in zip(names, bundles(rows["text"][part], dim, order, owners), strict=True):
+                        total[name] = total.get(name, 0) + vector
         yield pa.RecordBatch.from_pydict(
             {"lang": list(total), "v": [v.astype(np.int64) for v in total.values()]}, schema=schema
         )
@@ -183,24 +183,25 @@ def identify(
     stacked = np.stack(list(model.values())) if model else None
     held = docs.sparkSession.sparkContext.broadcast(stacked)
 
-    @F.pandas_udf(f"`{lang}` string, `{score}` double")
-    def predict(series: pd.Series) -> pd.DataFrame:
-        texts = [t if isinstance(t, str) else None for t in series]
+    @F.arrow_udf("lang string, score double")
+    def predict(texts: pa.Array) -> pa.Array:
         best, share = [UNKNOWN] * len(texts), np.zeros(len(texts))
-        for part in blocks({"text": texts}) if held.value is not None else ():
-            sums = bundles(texts[part], held.value.shape[1], order).astype(np.float64)
-            near = np.exp(sharpness * compare(sums, held.value))
-            near /= near.sum(axis=1, keepdims=True)
-            for i in np.flatnonzero(np.abs(sums).any(axis=1)):
-                k = int(near[i].argmax())
-                best[part.start + i], share[part.start + i] = names[k], near[i, k]
-        return pd.DataFrame({lang: best, score: share})
+        for at in range(0, len(texts) if held.value is not None else 0, BLOCK_DOCS):
+            some = texts.slice(at, BLOCK_DOCS).to_pylist()
+            for part in blocks({"text": some}):
+                sums = bundles(some[part], held.value.shape[1], order).astype(np.float64)
+                near = np.exp(sharpness * compare(sums, held.value))
+                near /= near.sum(axis=1, keepdims=True)
+                for i in np.flatnonzero(np.abs(sums).any(axis=1)):
+                    k, row = int(near[i].argmax()), at + part.start + i
+                    best[row], share[row] = names[k], near[i, k]
+        return pa.StructArray.from_arrays([pa.array(best, pa.string()), pa.array(share)], ["lang", "score"])
 
     # Else a filter on the result would be pushed below it and predict again.
     predict = predict.asNondeterministic()
     found = docs.withColumn("_found", predict(F.col(text_col)))
     keep = [c for c in docs.columns if c not in (lang, score)]
-    return found.select(*keep, f"_found.{lang}", f"_found.{score}")
+    return found.select(*keep, F.col("_found.lang").alias(lang), F.col("_found.score").alias(score))
 
 
 def held_out(id_col: Column) -> Column:

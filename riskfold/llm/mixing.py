@@ -178,9 +178,13 @@ def mix(
     spark = rows.sparkSession
     rows = rows.drop("position", "slot", "block")
     keys = keys or (["doc_id"] if "doc_id" in rows.columns else rows.columns)
+    columns = {f"in_{c}": c for c in rows.columns}  # no added column begins like this
+    rows = rows.withColumnsRenamed({c: i for i, c in columns.items()})
+    source, keys = f"in_{source}", [f"in_{c}" for c in keys]
+    result = [F.col(i).alias(c) for i, c in columns.items()] + ["position", "slot", "block"]
     sizes = source_sizes(rows, source)
     if not sizes:
-        return rows.selectExpr("*", "0L position", "0L slot", "0L block")
+        return rows.selectExpr("*", "0L position", "0L slot", "0L block").select(*result)
     weights = weights or tempered(sizes)
     if missing := [k for k in sizes if k not in weights]:
         raise ValueError(f"no weight for sources {sorted(map(str, missing))[:10]}")
@@ -222,4 +226,4 @@ def mix(
             gaps, F.lit(0).cast("long"), lambda t, g: t + F.when(g["slot"] < F.col("slot"), g["n"]).otherwise(0)
         )
     position = F.col("slot") * block_rows + F.col("_nth") % block_rows - missing
-    return found.withColumn("position", position).select(*rows.columns, "position", "slot", "block")
+    return found.withColumn("position", position).select(*result)

@@ -20,6 +20,7 @@ from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,10 +56,10 @@ def fingerprint_text(text: str | None, shingle: int = 3) -> int:
 def fingerprint(text: Column, shingle: int = 3) -> Column:
     """Fingerprint as a long with the same 64 bits."""
 
-    @F.pandas_udf(T.LongType())
-    def of(texts: pd.Series) -> pd.Series:
-        found = np.fromiter((fingerprint_text(t, shingle) for t in texts), np.uint64, len(texts))
-        return pd.Series(found.view(np.int64))
+    @F.arrow_udf(T.LongType())
+    def of(texts: pa.Array) -> pa.Array:
+        found = (fingerprint_text(t.as_py(), shingle) for t in texts)
+        return pa.array(np.fromiter(found, np.uint64, len(texts)).view(np.int64))
 
     # Else a filter on the result would be pushed below it and hash again.
     return of.asNondeterministic()(text)
@@ -263,11 +264,15 @@ def deduplicate(
 
     A row without id stands for its group only if no member has one; of repeated rows one stays.
     """
+    columns = {f"in_{c}": c for c in docs.columns}  # no added column begins like this
+    docs = docs.withColumnsRenamed({c: i for i, c in columns.items()})
+    id_col, text_col = f"in_{id_col}", f"in_{text_col}"
     marked = docs.withColumn("_fp", fingerprint(F.col(text_col), shingle))
     fps = written(marked.select(F.col(id_col).alias("_id"), F.col("_fp").alias("fp")), "document-fingerprints")
     best = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("fp").alias("fp"))
     keep = groups(fps, best, radius, shard_size).select("best.id", "best.fp").distinct()
     keep = keep.select(F.col("id").alias("_keep_id"), F.col("fp").alias("_fp"))
     same = marked[id_col].eqNullSafe(keep["_keep_id"]) & (marked["_fp"] == keep["_fp"])
-    kept = marked.join(keep, same, "left_semi")
-    return kept.dropDuplicates([id_col, "_fp"]).drop("_fp")
+    kept = marked.join(keep.hint("shuffle_hash"), same, "left_semi")
+    kept = kept.dropDuplicates([id_col, "_fp"])
+    return kept.select(*[F.col(i).alias(c) for i, c in columns.items()])
