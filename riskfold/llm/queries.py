@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from riskfold.llm import bpe, chat, fingerprint, html, langid, lm, mixing, simhash, tokenfile
+from riskfold.llm import bpe, chat, fingerprint, html, langid, lm, mixing, search, simhash, tokenfile
 from riskfold.functions.scaling import shared_dir, written
 from riskfold.llm.tables import table
 
@@ -69,6 +69,12 @@ def op6_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    index = written(search.build(docs), "search-index")
+    return search.search(index, docs.filter("doc_id % 50 = 0"), k=10)
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -105,6 +111,7 @@ QUERIES = {
     "op4_token_files": op4_token_files,
     "op5_chat_formatting": op5_chat_formatting,
     "op6_byte_level_bpe": op6_byte_level_bpe,
+    "op7_exact_top_k": op7_exact_top_k,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_language_id": op9_language_id,
     "op10_lm_scoring": op10_lm_scoring,

@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from riskfold.llm import bpe, chat, fingerprint, html, langid, lm, mixing, simhash, tokenfile
+from riskfold.llm import bpe, chat, fingerprint, html, langid, lm, mixing, search, simhash, tokenfile
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 CLASH = ["_fp", "fp", "mask", "key", "count", "n", "best", "word", "row", "ids", "position", "_s", "_h", "range"]
@@ -503,3 +503,43 @@ def test_stages_take_odd_and_empty_tables(spark, odd, none):
                 assert docs.columns == columns
         rows = docs.collect()
         assert len({r.doc_id for r in rows}) == len(rows)
+
+
+# -------------------------------------------------------------- 7 search
+
+
+def check_hits(found, expected, k=10):
+    by_query = {}
+    for r in sorted(found, key=lambda r: (r.query_id, r.rank)):
+        by_query.setdefault(r.query_id, []).append((r.doc_id, r.score))
+    assert set(by_query) == {q for q, hits in expected.items() if hits}
+    for q, hits in by_query.items():
+        assert [round(s, 6) for _, s in hits] == [round(s, 6) for _, s in expected[q]]
+        last = round(hits[-1][1], 6)
+        for of in (hits, expected[q]):
+            of[:] = sorted((i for i, s in of if round(s, 6) > last), key=str)
+        assert hits == expected[q]
+
+
+def test_search_equals_scoring_all_rows(spark, sf, monkeypatch):
+    docs = sf_rows(spark, sf, "documents", "doc_id", "text")
+    asked = [d for d in docs if d[0] % 50 == 0]
+    expected = search.plain_search(docs, asked)
+    check_hits(entry.queries()["op7_exact_top_k"](spark, sf).collect(), expected)
+
+
+def test_search_in_small_shards_and_blocks(spark, sf):
+    docs = sf_rows(spark, sf, "documents", "doc_id", "text")
+    asked = spark.createDataFrame([(1, docs[0][1][:60]), (2, docs[1][1]), (3, "nowhere-to-be-found")], "doc_id long, text string")
+    index = search.build(spark.createDataFrame(docs, "doc_id long, text string").repartition(7)).cache()
+    found = search.search(index, asked, k=3, query_terms=20).collect()
+    check_hits(found, search.plain_search(docs, [tuple(r) for r in asked.collect()], 3), 3)
+
+
+def test_search_of_odd_rows(odd, none):
+    rows = [(i, t) for i, t in odd.select("doc_id", "text").collect()]
+    found = search.search(search.build(odd), odd.filter("doc_id = 1"), k=4).collect()
+    assert [r.doc_id for r in sorted(found, key=lambda r: r.rank)][:3] == [1, 1, 2]
+    assert len(found) == 4 and len(rows) == 12
+    assert search.search(search.build(none), odd).count() == 0
+    assert search.search(search.build(odd), none).count() == 0
