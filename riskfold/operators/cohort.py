@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskfold.functions.scalars import col, is_finite, is_unlabelled, normalize_id
@@ -62,6 +62,11 @@ def select_source(source: Source, id_col: str = ID, strict: bool = True) -> Data
     return source.frame.select(normalize_id(col(id_col)).alias(ID), *[col(c) for c in names])
 
 
+def whole_label(label: Column) -> Column:
+    """The label as an integer; -1, which :func:`guard_labels` refuses, where it has a fraction."""
+    return F.when(label == F.floor(label), label.cast("int")).when(label.isNotNull(), -1)
+
+
 def filter_training(
     pheno: DataFrame,
     population: str,
@@ -74,7 +79,7 @@ def filter_training(
     """Id and label of the rows in the given populations and groups with a label."""
     return pheno.filter(
         col(population).isin(*populations) & col(group).isin(*groups) & col(label).isNotNull()
-    ).select(normalize_id(col(id_col)).alias(ID), col(label).cast("int").alias(LABEL))
+    ).select(normalize_id(col(id_col)).alias(ID), whole_label(col(label)).alias(LABEL))
 
 
 def filter_scoring(

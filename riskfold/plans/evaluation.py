@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from riskfold.functions.scalars import clean_feature_name, meta_feature_name
 from riskfold.operators import attribution, curves, summaries
+from riskfold.operators.cohort import whole_label
 from riskfold.sources.tables import optional_source, require_columns
 
 # The streams a unified out-of-fold table must hold, and the optional ones.
@@ -45,7 +46,7 @@ def load_single_oof(spark: SparkSession, paths: dict[str, str | None]) -> DataFr
     parts = [
         require_columns(df, SINGLE_OOF_COLUMNS, n).select(
             F.lit(n).alias("model"),
-            F.col("y_true").cast("int"),
+            whole_label(F.col("y_true")).alias("y_true"),
             F.col("y_oof_prob").cast("double").alias("p"),
         )
         for n, df in found.items()
@@ -61,7 +62,7 @@ def unified_stream(oof: DataFrame, required: tuple[str, ...] = REQUIRED) -> Data
     require_columns(oof, ["y_true", *[f"proba_{m}" for m in required]], "out-of-fold table")
     have = [m for m in (*required, *CALIBRATED) if f"proba_{m}" in oof.columns]
     return curves.long_streams(
-        oof.withColumn("y_true", F.col("y_true").cast("int")),
+        oof.withColumn("y_true", whole_label(F.col("y_true"))),
         ["y_true"],
         {m: f"proba_{m}" for m in have},
     )

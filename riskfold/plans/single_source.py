@@ -20,6 +20,7 @@ from riskfold.operators.cohort import (
 )
 from riskfold.operators.folds import CALIBRATION_SEED, stratified_folds
 from riskfold.operators.models import (
+    SINGLE_SPACE,
     FittedForest,
     ForestParams,
     SearchConfig,
@@ -47,7 +48,7 @@ class SingleRun:
 
 def build_cohort(features: DataFrame, labels: DataFrame, cfg: SearchConfig) -> DataFrame:
     """One row per labelled subject with its outer fold."""
-    rows = dedup_keep_first(join_label(features, labels), [ID])
+    rows = join_label(dedup_keep_first(features, [ID]), dedup_keep_first(labels, [ID]))
     folds = stratified_folds(rows.select(ID, LABEL), cfg.outer_folds, cfg.seed)
     return guard_labels(written(rows.join(folds.select(ID, "fold_id"), ID), "cohort"), "cohort")
 
@@ -55,10 +56,12 @@ def build_cohort(features: DataFrame, labels: DataFrame, cfg: SearchConfig) -> D
 def evaluate(
     features: DataFrame,
     labels: DataFrame,
-    cfg: SearchConfig,
+    cfg: SearchConfig | None = None,
     method: str | None = "sigmoid",
     calibration_folds: int = 5,
 ) -> SingleRun:
+    """Nested evaluation; the search space is that of single sources unless ``cfg`` names another."""
+    cfg = cfg or SearchConfig(space=SINGLE_SPACE)
     columns = [c for c in features.columns if c != ID]
     rows = build_cohort(features, labels, cfg)
     spark = rows.sparkSession

@@ -178,3 +178,14 @@ def test_column_checks_and_aliases(spark):
     assert got.columns == ["model", "threshold_name", "threshold"]
     assert tables.canonical_thresholds(df.drop("value")) is None
     assert tables.resolve_alias(df, ["x", "rule"]) == "rule"
+
+
+def test_fractional_labels_are_refused(spark):
+    pheno = spark.createDataFrame(
+        [("1", "p", "g", 0.5), ("2", "p", "g", 1.0), ("3", "p", "g", None)],
+        "subject_id string, pop string, grp string, y double",
+    )
+    kept = cohort.filter_training(pheno, "pop", ["p"], "grp", ["g"], "y")
+    assert sorted(r[cohort.LABEL] for r in kept.collect()) == [-1, 1]
+    with pytest.raises(ValueError):
+        cohort.guard_labels(kept, "labels")
