@@ -230,7 +230,10 @@ def unpack_part(data: bytes) -> Iterator[np.ndarray]:
     for k in range(0, len(coded), LANES):
         start = k * BLOCK
         n = min(n_ids - start, LANES * BLOCK)
-        ids[start : start + n] = read_blocks(coded[k : k + LANES], n, bits)
+        try:
+            ids[start : start + n] = read_blocks(coded[k : k + LANES], n, bits)
+        except IndexError as e:  # damage can lead the decoder past the end of a block
+            raise ValueError(f"damage in blocks {k} to {k + LANES - 1}") from e
     for k, check in enumerate(sums):
         if zlib.crc32(ids[k * BLOCK : (k + 1) * BLOCK].tobytes()) != check:
             raise ValueError(f"block {k} is damaged")
