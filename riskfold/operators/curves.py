@@ -22,8 +22,8 @@ INF = float("inf")
 
 
 def score_counts(scores: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
-    """Positives and rows at each distinct score; a row without a score is on no curve."""
-    return scores.filter(F.col("p").isNotNull()).groupBy(*by, "p").agg(
+    """Positives and rows at each distinct score; a null or NaN score is on no curve."""
+    return scores.filter(F.col("p").isNotNull() & ~F.isnan("p")).groupBy(*by, "p").agg(
         F.sum(F.col("y_true").cast("bigint")).alias("pos"), F.count(F.lit(1)).alias("n")
     )
 

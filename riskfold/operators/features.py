@@ -11,11 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskfold.functions.scalars import col
-from riskfold.functions.scaling import collect_small
 from riskfold.operators.cohort import LABEL
 
 NULL_LEVEL = "__null__"  # null is a level of its own
-MAX_LEVELS = 10_000
 
 
 def split_feature_types(df: DataFrame, columns: Sequence[str]) -> tuple[list[str], list[str]]:
@@ -48,9 +46,9 @@ def prepare_inputs(
     return df.select(*[col(c) for c in keep], *numbers, *texts)
 
 
-def guard_levels(df: DataFrame, categorical: Sequence[str], limit: int = MAX_LEVELS) -> None:
-    """Indicator columns keep every level on the driver: refuse id-like text columns."""
-    if not categorical:
+def guard_levels(df: DataFrame, categorical: Sequence[str], limit: int | None) -> None:
+    """Refuse text columns with more than about ``limit`` levels (None: no limit)."""
+    if not categorical or limit is None:
         return
     row = df.agg(*[F.approx_count_distinct(col(c)).alias(c) for c in categorical]).first()
     wide = {c: row[c] for c in categorical if row[c] > limit}
@@ -59,14 +57,19 @@ def guard_levels(df: DataFrame, categorical: Sequence[str], limit: int = MAX_LEV
 
 
 def fit_preparation(
-    df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], allow_missing: bool = False
+    df: DataFrame,
+    numeric: Sequence[str],
+    categorical: Sequence[str],
+    allow_missing: bool = False,
+    max_levels: int | None = None,
 ) -> PipelineModel:
     """Learn indicator columns on training rows; numbers pass through.
 
     A level unseen in training falls into the dropped last slot, so all its indicators
-    are zero. Missing numbers are an error unless ``allow_missing``.
+    are zero. Missing numbers are an error unless ``allow_missing``. The levels stay with
+    the model on the driver: ``max_levels`` refuses id-like text columns.
     """
-    guard_levels(df, categorical)
+    guard_levels(df, categorical, max_levels)
     stages, inputs = [], list(numeric)
     if categorical:
         index = [f"{c}__index" for c in categorical]
@@ -103,9 +106,12 @@ def feature_names(preparation: PipelineModel, numeric: Sequence[str]) -> list[st
 
 def class_weights(df: DataFrame, label: str = LABEL) -> dict[int, float]:
     """``rows / (classes * rows of the class)`` per class."""
-    rows = collect_small(df.groupBy(label).agg(F.count(F.lit(1)).alias("n")), 1000)
-    if rows is None:
-        raise ValueError(f"{label} has more than 1000 distinct values: not a class label")
+    other = F.max(F.when(~F.coalesce(F.col(label).isin(0, 1), F.lit(False)), F.struct(label)))
+    of = F.when(F.col(label).isin(0, 1), F.col(label))
+    rows = df.groupBy(of.alias(label)).agg(F.count(F.lit(1)).alias("n"), other.alias("other")).collect()
+    bad = [(r.other[0], r.n) for r in rows if r.other is not None]
+    if bad:
+        raise ValueError(f"{label}: {bad[0][1]} labels are not 0 or 1, for example {bad[0][0]}")
     total = sum(r.n for r in rows)
     return {r[label]: total / (len(rows) * r.n) for r in rows}
 

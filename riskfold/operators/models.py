@@ -103,12 +103,14 @@ def sample_param_grid(space: Mapping, n: int, seed: int) -> list[ForestParams]:
 
 
 def forest(params: ForestParams, seed: int) -> RandomForestClassifier:
+    if params.depth is not None and params.depth > DEEPEST:
+        raise ValueError(f"depth {params.depth}: at most {DEEPEST}, or None for the deepest")
     return RandomForestClassifier(
         featuresCol="features",
         labelCol=LABEL,
         weightCol="weight",
         numTrees=params.trees,
-        maxDepth=DEEPEST if params.depth is None else min(params.depth, DEEPEST),
+        maxDepth=DEEPEST if params.depth is None else params.depth,
         minInstancesPerNode=params.min_rows,
         featureSubsetStrategy=params.features,
         subsamplingRate=params.subsample,

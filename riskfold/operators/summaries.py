@@ -66,7 +66,8 @@ def reliability_curve(
     the bin numbered by the inner edges strictly below it; empty bins do not appear.
     """
     by = list(by)
-    clamped = scores.withColumn("p", clamp(F.col("p"), 0.0, 1.0))
+    present = scores.filter(~F.isnan("p"))  # before the clamp, which would take NaN for 1
+    clamped = present.withColumn("p", clamp(F.col("p"), 0.0, 1.0))
     edges = quantile_edges(clamped, bins, by)
     counts = attach_small(score_counts(clamped, by), edges, by, salt_by=["p"])
     binned = counts.withColumn("bin", F.size(F.filter("edges", lambda e: e < F.col("p"))))

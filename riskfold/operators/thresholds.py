@@ -121,7 +121,7 @@ def _best_recall(target: float) -> Column:
 
 def _at_fixed(threshold: float) -> Column:
     """Counts at or above a given threshold, read off the curve."""
-    above = F.col("p") >= threshold
+    above = at_least(F.col("p"), F.lit(float(threshold)))
     return F.struct(
         F.lit(float(threshold)).alias("threshold"),
         F.coalesce(F.max(F.when(above, F.col("tp"))), F.lit(0).cast("bigint")).alias("tp"),

@@ -1,6 +1,8 @@
 """Model fitting over documents: search, nested runs, fusion, calibration, scoring, attribution.
 
-The runs are small in folds, draws and trees, never in rows. One evaluation and one set
+The runs search two draws in 3 x 2 folds over small forests, on all rows; ``CFG`` and
+``SPACE`` are their size. A fit has no SQL, but its structure has: the ``*_rows`` queries show
+which subject, fold, label and model a run scored, and whether with a probability. One evaluation and one set
 of final models per session and data folder serve all queries that show a part of them.
 """
 
@@ -17,7 +19,7 @@ from riskfold.operators import attribution, calibration, cohort, curves, models
 from riskfold.operators import summaries, thresholds
 from riskfold.plans import evaluation, multi_source, scoring, single_source
 from riskfold.sources import artifacts
-from workloads.cohorts import frames, labels, phenotype
+from workloads.cohorts import LABELS_SQL, frames, labels, phenotype
 from workloads.lines import SCORES_SQL, scores, tidy, wide_scores
 
 SPACE = {
@@ -29,7 +31,7 @@ SPACE = {
     "subsample": (0.60, 0.95),
 }
 CFG = models.SearchConfig(
-    outer_folds=2, inner_folds=2, draws=1, seed=42, space=SPACE, parallelism=8
+    outer_folds=3, inner_folds=2, draws=2, seed=42, space=SPACE, parallelism=8
 )
 CALIBRATION_FOLDS = 2
 _made: dict[tuple, object] = {}
@@ -74,15 +76,21 @@ def single_of(spark, sf) -> single_source.SingleRun:
     )
 
 
-def saved_of(spark, sf) -> str:
-    """Folder of the final models and their calibrators."""
+def final_of(spark, sf) -> multi_source.FinalModels:
+    """The final models and their calibrators."""
 
     def make():
         final = multi_source.fit_final(cohorts_of(spark, sf), CFG)
         final.calibrators = multi_source.fit_oof_calibrators(run_of(spark, sf).oof)
-        return artifacts.save_models(final, f"{shared_dir(spark)}/models-{uuid.uuid4().hex}")
+        return final
+
+    return _once(spark, sf, "final", make)
 
-    return _once(spark, sf, "saved", make)
+
+def saved_of(spark, sf) -> str:
+    """Folder the final models were saved to."""
+    path = f"{shared_dir(spark)}/models-{uuid.uuid4().hex}"
+    return _once(spark, sf, "saved", lambda: artifacts.save_models(final_of(spark, sf), path))
 
 
 def loaded_of(spark, sf) -> multi_source.FinalModels:
@@ -203,7 +211,63 @@ def _score_calibrated(spark, sf):
 
 def _tree_attribution(spark, sf):
     df = cohort.join_label(frames(spark, sf)["text"], labels(spark, sf))
-    return tidy(attribution.tree_attribution(forest_of(spark, sf), df, 500, 42))
+    return tidy(attribution.tree_attribution(forest_of(spark, sf), df))
+
+
+def _tree_additivity(spark, sf):
+    """Labelled documents, and those whose base and contributions miss the probability."""
+    fitted, df = forest_of(spark, sf), cohort.join_label(frames(spark, sf)["text"], labels(spark, sf))
+    parts = attribution.tree_contributions(fitted, df)
+    total = F.aggregate("contributions", F.col("base"), lambda a, v: a + v)
+    return parts.join(fitted.predict(df), cohort.ID).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(~(F.abs(total - F.col("p")) <= 1e-9)).alias("n_off"),
+    )
+
+
+def _within(*names: str):
+    """1 where every named column is a probability."""
+    ok = F.lit(True)
+    for n in names:
+        ok = ok & F.coalesce(F.col(n).between(0, 1), F.lit(False))
+    return ok.cast("int").alias("ok")
+
+
+def _rows(oof: DataFrame) -> DataFrame:
+    return oof.select(cohort.ID, "fold_id", cohort.LABEL, "model", _within("p"))
+
+
+def _inner_rows(spark, sf):
+    """Meta-training rows under each outer fold."""
+    parts = stage_of(spark, sf, "late").meta_rows
+    names = [f"p_{n}" for n in cohorts_of(spark, sf).names]
+    return models.union_all(
+        d.select(F.lit(k).alias("outer_fold"), cohort.ID, "fold_id", cohort.LABEL, _within(*names))
+        for k, d in parts.items()
+    )
+
+
+def _loaded_equal(spark, sf):
+    """Rows of the intersection, and those a loaded model scores unlike the one in memory."""
+    kept, read, wide = final_of(spark, sf), loaded_of(spark, sf), cohorts_of(spark, sf).wide
+    pairs = {n: (m, read.singles[n]) for n, m in kept.singles.items()} | {
+        "early": (kept.early, read.early)
+    }
+    parts = []
+    for name, (a, b) in pairs.items():
+        both = a.predict(wide, name="p").join(b.predict(wide, name="q"), cohort.ID)
+        off = F.count_if(~F.coalesce(F.abs(F.col("p") - F.col("q")) <= 1e-12, F.lit(False)))
+        parts.append(
+            both.agg(F.count(F.lit(1)).alias("n"), off.alias("n_off")).withColumn("model", F.lit(name))
+        )
+    return models.union_all(parts)
+
+
+def _scored_rows(spark, sf):
+    """Every new subject, and whether all its risks are probabilities."""
+    out = _score_calibrated(spark, sf)
+    risks = [c for c in out.columns if c.startswith("risk_")]
+    return out.select(cohort.ID, F.lit(len(risks)).alias("n_risks"), _within(*risks))
 
 
 def _linear_meta(spark, sf):
@@ -252,9 +316,39 @@ QUERIES = {
     "score_calibrated": _score_calibrated,
     "score_table": _score_table,
     "tree_attribution": _tree_attribution,
+    "tree_attribution_additivity": _tree_additivity,
+    "single_source_baseline_rows": lambda s, d: _rows(oof_of(s, d, "single", "single_")),
+    "single_source_nested_cv_rows": lambda s, d: _rows(single_of(s, d).oof),
+    "early_fusion_cv_rows": lambda s, d: _rows(oof_of(s, d, "early", "multi_early")),
+    "late_fusion_inner_oof_rows": _inner_rows,
+    "late_fusion_base_test_rows": lambda s, d: _rows(oof_of(s, d, "late", "base_")),
+    "late_fusion_cv_rows": lambda s, d: _rows(oof_of(s, d, "late", "multi_late")),
+    "calibrate_cv_rows": lambda s, d: _rows(_calibrated(s, d)),
+    "load_models_equal": _loaded_equal,
+    "score_calibrated_rows": _scored_rows,
     "linear_attribution_meta": _linear_meta,
 }
 
+INTERSECTION_SQL = """
+  both AS (
+    SELECT subject_id, y_true FROM labelled WHERE subject_id IN (
+      SELECT CAST(vec_id AS VARCHAR) FROM embeddings))"""
+
+
+def _run_sql(cohort_name: str, names: list[str]) -> str:
+    """Subjects with their outer fold, once per model."""
+    return f"""WITH {LABELS_SQL}, {INTERSECTION_SQL}, folds AS (
+        SELECT subject_id, y_true, CAST((ROW_NUMBER() OVER (
+                 ORDER BY y_true, MD5('{CFG.seed}|' || subject_id), subject_id) - 1)
+                 % {CFG.outer_folds} + 1 AS INTEGER) AS fold_id FROM {cohort_name})
+      SELECT subject_id, fold_id, y_true, model, 1 AS ok
+      FROM folds, (VALUES {", ".join(f"('{n}')" for n in names)}) m(model)"""
+
+
+_SOURCES = ("meta", "text", "vector")
+_BASES = [f"base_{n}" for n in _SOURCES]
+_EARLY, _LATE = ["multi_early", "multi_early_cal"], ["multi_late", "multi_late_cal"]
+
 _G = ("gd", "gp", "gb")
 _H = (("hdd", "hdp", "hdb"), ("hdp", "hpp", "hpb"), ("hdb", "hpb", "hbb"))
 
@@ -297,6 +391,23 @@ def _meta_sql() -> str:
 
 
 ORACLES = {
+    "tree_attribution_additivity": f"""WITH {LABELS_SQL}
+      SELECT COUNT(*) AS n, CAST(0 AS BIGINT) AS n_off FROM labelled""",
+    "single_source_baseline_rows": _run_sql("both", [f"single_{n}" for n in _SOURCES]),
+    "single_source_nested_cv_rows": _run_sql("labelled", ["uncalibrated", "calibrated"]),
+    "early_fusion_cv_rows": _run_sql("both", _EARLY),
+    "late_fusion_inner_oof_rows": f"""SELECT outer_fold, subject_id, fold_id, y_true, ok
+      FROM ({_run_sql("both", ["any"])}), (SELECT CAST(k AS INTEGER) AS outer_fold
+        FROM range(1, {CFG.outer_folds + 1}) r(k)) WHERE fold_id <> outer_fold""",
+    "late_fusion_base_test_rows": _run_sql("both", _BASES),
+    "late_fusion_cv_rows": _run_sql("both", _LATE),
+    "calibrate_cv_rows": _run_sql("both", [_EARLY[1], _LATE[1]]),
+    "load_models_equal": f"""WITH {LABELS_SQL}, {INTERSECTION_SQL}
+      SELECT COUNT(*) AS n, CAST(0 AS BIGINT) AS n_off, model
+      FROM both, (VALUES ('meta'), ('text'), ('vector'), ('early')) m(model) GROUP BY model""",
+    "score_calibrated_rows": """SELECT CAST(d.doc_id AS VARCHAR) AS subject_id, 4 AS n_risks, 1 AS ok
+      FROM documents d LEFT JOIN labels l USING (doc_id)
+      WHERE l.toxic IS NULL AND d.doc_id IN (SELECT vec_id FROM embeddings)""",
     "train_meta_logistic": _meta_sql(),
     # Newton steps on half the squared slope plus log-loss, from zero.
     "fit_platt": f"""WITH RECURSIVE {SCORES_SQL}, g AS (
