@@ -330,7 +330,7 @@ QUERIES = {
 }
 
 INTERSECTION_SQL = """
-  both AS (
+  met AS (
     SELECT subject_id, y_true FROM labelled WHERE subject_id IN (
       SELECT CAST(vec_id AS VARCHAR) FROM embeddings))"""
 
@@ -393,18 +393,18 @@ def _meta_sql() -> str:
 ORACLES = {
     "tree_attribution_additivity": f"""WITH {LABELS_SQL}
       SELECT COUNT(*) AS n, CAST(0 AS BIGINT) AS n_off FROM labelled""",
-    "single_source_baseline_rows": _run_sql("both", [f"single_{n}" for n in _SOURCES]),
+    "single_source_baseline_rows": _run_sql("met", [f"single_{n}" for n in _SOURCES]),
     "single_source_nested_cv_rows": _run_sql("labelled", ["uncalibrated", "calibrated"]),
-    "early_fusion_cv_rows": _run_sql("both", _EARLY),
+    "early_fusion_cv_rows": _run_sql("met", _EARLY),
     "late_fusion_inner_oof_rows": f"""SELECT outer_fold, subject_id, fold_id, y_true, ok
-      FROM ({_run_sql("both", ["any"])}), (SELECT CAST(k AS INTEGER) AS outer_fold
+      FROM ({_run_sql("met", ["any"])}), (SELECT CAST(k AS INTEGER) AS outer_fold
         FROM range(1, {CFG.outer_folds + 1}) r(k)) WHERE fold_id <> outer_fold""",
-    "late_fusion_base_test_rows": _run_sql("both", _BASES),
-    "late_fusion_cv_rows": _run_sql("both", _LATE),
-    "calibrate_cv_rows": _run_sql("both", [_EARLY[1], _LATE[1]]),
+    "late_fusion_base_test_rows": _run_sql("met", _BASES),
+    "late_fusion_cv_rows": _run_sql("met", _LATE),
+    "calibrate_cv_rows": _run_sql("met", [_EARLY[1], _LATE[1]]),
     "load_models_equal": f"""WITH {LABELS_SQL}, {INTERSECTION_SQL}
       SELECT COUNT(*) AS n, CAST(0 AS BIGINT) AS n_off, model
-      FROM both, (VALUES ('meta'), ('text'), ('vector'), ('early')) m(model) GROUP BY model""",
+      FROM met, (VALUES ('meta'), ('text'), ('vector'), ('early')) m(model) GROUP BY model""",
     "score_calibrated_rows": """SELECT CAST(d.doc_id AS VARCHAR) AS subject_id, 4 AS n_risks, 1 AS ok
       FROM documents d LEFT JOIN labels l USING (doc_id)
       WHERE l.toxic IS NULL AND d.doc_id IN (SELECT vec_id FROM embeddings)""",
