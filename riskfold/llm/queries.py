@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from riskfold.llm import bpe, chat, fingerprint, html, langid, lm, mixing, search, simhash, tokenfile
+from riskfold.llm import bpe, chat, fingerprint, html, langid, lm, mixing, multiindex, search, simhash
+from riskfold.llm import spelling, tokenfile
 from riskfold.functions.scaling import shared_dir, written
 from riskfold.llm.tables import table
 
@@ -104,6 +105,15 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spelling.variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiindex.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_document_fingerprints": op1_document_fingerprints,
     "op2_html_extraction": op2_html_extraction,
@@ -115,5 +125,7 @@ QUERIES = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_language_id": op9_language_id,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_embedding_near_dedup": op12_embedding_near_dedup,
 }
 ORACLES: dict[str, str] = {}
