@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 from riskfold.llm import bpe, chat, fingerprint, html, langid, lm, mixing, multiindex, search, simhash
-from riskfold.llm import spelling, tokenfile
+from riskfold.llm import spelling, tokenfile, trie
 from riskfold.functions.scaling import shared_dir, written
 from riskfold.llm.tables import table
 
@@ -114,6 +114,10 @@ def op12_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiindex.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op13_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_document_fingerprints": op1_document_fingerprints,
     "op2_html_extraction": op2_html_extraction,
@@ -127,5 +131,6 @@ QUERIES = {
     "op10_lm_scoring": op10_lm_scoring,
     "op11_spelling_variants": op11_spelling_variants,
     "op12_embedding_near_dedup": op12_embedding_near_dedup,
+    "op13_conversation_prefix_trie": op13_conversation_prefix_trie,
 }
 ORACLES: dict[str, str] = {}
