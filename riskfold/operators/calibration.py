@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Sequence
 from dataclasses import asdict, dataclass
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskfold.functions.scalars import clip_probability
+from riskfold.functions.scaling import written
+from riskfold.operators.isotonic import apply_knots, isotonic_knots
 from riskfold.operators.summaries import finite_filter
 
 CLIP = 1e-6
 METHODS = ("sigmoid", "isotonic")
+KNOTS = "x double, y double"
 
 
 @dataclass(frozen=True)
@@ -30,51 +32,42 @@ class Sigmoid:
     def apply(self, p: Column) -> Column:
         return 1 / (1 + F.exp(-(self.a * sigmoid_input(p, self.logit, self.clip) + self.b)))
 
+    def calibrate(self, df: DataFrame, score: str = "p", name: str = "p_cal") -> DataFrame:
+        return df.withColumn(name, self.apply(F.col(score)))
+
     def to_dict(self) -> dict:
         return {"method": "sigmoid", **asdict(self)}
 
+    def save(self, path: str) -> dict:
+        return self.to_dict()
+
 
 @dataclass(frozen=True)
 class Isotonic:
-    """Monotone piecewise-linear map through ``(boundary, value)``, flat outside."""
+    """Monotone piecewise-linear map, flat outside its knots: a written table of ``x, y``."""
 
-    boundaries: tuple[float, ...]
-    values: tuple[float, ...]
+    knots: DataFrame
 
-    def apply(self, p: Column) -> Column:
-        xs, ys = self.boundaries, self.values
-        if len(xs) == 1:
-            return F.when(p.isNotNull(), F.lit(ys[0]))
-        knots = F.array(*[F.lit(float(x)) for x in xs])
-        levels = F.array(*[F.lit(float(y)) for y in ys])
-        # 1-based position of the last knot at or below p, kept inside the segments: a
-        # search of every step-th knot, then of one step.
-        step = max(1, math.isqrt(len(xs)))
-        marks = F.array(*[F.lit(float(x)) for x in xs[::step]])
-        before = (F.greatest(_count_up_to(marks, p), F.lit(1)) - 1) * step
-        at = before + _count_up_to(F.slice(knots, before + 1, F.lit(step)), p)
-        at = F.greatest(F.least(at, F.lit(len(xs) - 1)), F.lit(1))
-        x0, x1 = F.element_at(knots, at), F.element_at(knots, at + 1)
-        y0, y1 = F.element_at(levels, at), F.element_at(levels, at + 1)
-        inside = y0 + (y1 - y0) * (p - x0) / (x1 - x0)
-        return F.when(p <= xs[0], F.lit(ys[0])).when(p >= xs[-1], F.lit(ys[-1])).otherwise(inside)
+    def calibrate(self, df: DataFrame, score: str = "p", name: str = "p_cal") -> DataFrame:
+        return apply_knots(df, self.knots, (), score, name)
 
     def to_dict(self) -> dict:
-        return {"method": "isotonic", "boundaries": list(self.boundaries), "values": list(self.values)}
-
+        return {"method": "isotonic"}
 
-def _count_up_to(knots: Column, p: Column) -> Column:
-    return F.size(F.filter(knots, lambda x: x <= p))
+    def save(self, path: str) -> dict:
+        self.knots.coalesce(1).write.mode("overwrite").parquet(f"{path}/knots")
+        return self.to_dict()
 
 
 Calibrator = Sigmoid | Isotonic
 
 
-def from_dict(d: dict) -> Calibrator:
-    d = dict(d)
-    if d.pop("method") == "sigmoid":
-        return Sigmoid(**d)
-    return Isotonic(tuple(d["boundaries"]), tuple(d["values"]))
+def load(spark: SparkSession, details: dict, path: str) -> Calibrator:
+    """The map that ``save`` wrote under ``path`` and described by ``details``."""
+    details = dict(details)
+    if details.pop("method") == "sigmoid":
+        return Sigmoid(**details)
+    return Isotonic(spark.read.schema(KNOTS).parquet(f"{path}/knots"))
 
 
 def sigmoid_input(p: Column, logit: bool, clip: float) -> Column:
@@ -142,14 +135,8 @@ def fit_smoothed_sigmoid(scores: DataFrame, logit: bool = False, clip: float = C
 
 
 def fit_isotonic(scores: DataFrame) -> Isotonic:
-    """Monotone least-squares map; equal scores are pooled before the solver sees them."""
-    pooled = distinct_scores(scores, F.col("p")).select(
-        "x", (F.col("pos") / F.col("n")).alias("label"), F.col("n").alias("weight")
-    )
-    model = IsotonicRegression(featuresCol="x", labelCol="label", weightCol="weight").fit(pooled)
-    return Isotonic(
-        tuple(float(x) for x in model.boundaries), tuple(float(y) for y in model.predictions)
-    )
+    """Monotone least-squares map of ``(p, y_true)``."""
+    return Isotonic(written(isotonic_knots(scores).select("x", "y"), "isotonic-knots"))
 
 
 def has_two_classes(scores: DataFrame) -> bool:
@@ -175,14 +162,11 @@ def fit_calibrator(
     return fit_isotonic(rows) if method == "isotonic" else fit_sigmoid(rows, logit, clip)
 
 
-def calibrator_meta(scores: DataFrame, method: str, clip: float = CLIP) -> DataFrame:
+def calibrator_meta(
+    scores: DataFrame, method: str, clip: float = CLIP, by: Sequence[str] = ()
+) -> DataFrame:
     """Size and prevalence of the calibration rows with the settings used."""
     y = F.col("y_true").cast("bigint")
-    return scores.agg(
+    return scores.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_oof"), F.sum(y).alias("n_pos"), F.avg(y).alias("prevalence")
     ).select("*", F.lit(method).alias("method"), F.lit(float(clip)).alias("clip"))
-
-
-def isotonic_table(spark: SparkSession, maps: dict[str, Isotonic]) -> DataFrame:
-    rows = [(m, x, y) for m, c in maps.items() for x, y in zip(c.boundaries, c.values)]
-    return spark.createDataFrame(rows, "model string, p double, p_cal double")

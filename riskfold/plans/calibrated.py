@@ -18,6 +18,7 @@ from riskfold.operators.features import balanced_weights
 from riskfold.operators.folds import stratified_folds
 from riskfold.operators.models import (
     FittedForest,
+    MetaModel,
     balanced_partitions,
     fit_meta,
     forest,
@@ -46,13 +47,14 @@ class CalibratedForest:
     parts: list[tuple[RandomForestClassificationModel, Calibrator]]
 
     def predict(self, df: DataFrame, keep: Sequence[str] = (ID,), name: str = "p") -> DataFrame:
-        """``keep`` and the mean calibrated probability: one narrow plan for all refits."""
+        """``keep`` and the mean calibrated probability; sigmoid refits are one narrow plan."""
         out = self.base.vectors(df, keep)
-        mapped = []
         for i, (model, cal) in enumerate(self.parts):
             model = model.copy().setProbabilityCol(f"_prob{i}")
             out = model.setRawPredictionCol("").setPredictionCol("").transform(out)
-            mapped.append(cal.apply(positive_probability(f"_prob{i}")))
+            out = out.withColumn(f"_prob{i}", positive_probability(f"_prob{i}"))
+            out = cal.calibrate(out, f"_prob{i}", f"_cal{i}")
+        mapped = [F.col(f"_cal{i}") for i in range(len(self.parts))]
         return out.select(*[col(k) for k in keep], _average(mapped).alias(name))
 
 
@@ -82,14 +84,30 @@ def calibrated_forest(
     return CalibratedForest(fitted, in_parallel(train.sparkSession, jobs, threads))
 
 
+@dataclass
+class CalibratedMeta:
+    """Refits of the meta-model, each with the map fitted on the part it did not see."""
+
+    parts: list[tuple[MetaModel, Calibrator]]
+
+    def predict(self, df: DataFrame, name: str = "p") -> DataFrame:
+        """``df`` with the mean calibrated probability."""
+        out = df
+        for i, (meta, cal) in enumerate(self.parts):
+            out = cal.calibrate(out.withColumn(f"_raw{i}", meta.probability()), f"_raw{i}", f"_cal{i}")
+        added = [f"_{k}{i}" for k in ("raw", "cal") for i in range(len(self.parts))]
+        mapped = _average([F.col(f"_cal{i}") for i in range(len(self.parts))])
+        return out.withColumn(name, mapped).drop(*added)
+
+
 def calibrated_meta(
     rows: DataFrame, names: Sequence[str], method: str, k: int, seed: int
-) -> Column:
-    """The same for the meta-model, whose map reads the log-odds rather than p."""
+) -> CalibratedMeta:
+    """The same for the meta-model, whose sigmoid map reads the log-odds rather than p."""
     parts = written(stratified_folds(rows, k, seed, name="part"), "calibration-meta")
-    mapped = []
+    fitted = []
     for i in range(1, k + 1):
         meta = fit_meta(parts.filter(F.col("part") != i), names)
         scored = parts.filter(F.col("part") == i).select(meta.probability().alias("p"), LABEL)
-        mapped.append(_fit_map(scored, method, margin=True).apply(meta.probability()))
-    return _average(mapped)
+        fitted.append((meta, _fit_map(scored, method, margin=True)))
+    return CalibratedMeta(fitted)

@@ -43,6 +43,7 @@ from riskfold.operators.models import (
     in_parallel,
     union_all,
 )
+from riskfold.operators.summaries import finite_filter
 from riskfold.plans.calibrated import calibrated_forest, calibrated_meta
 
 OUT = [ID, "fold_id", LABEL]
@@ -205,8 +206,8 @@ def late_fold(
     out.append(_labelled(test.withColumn("p", meta.probability()), "multi_late"))
     if method:
         seed = cfg.seed + CALIBRATION_SEED["late"] + fold
-        p_cal = calibrated_meta(meta_rows, c.names, method, calibration_folds, seed)
-        out.append(_labelled(test.withColumn("p", p_cal), "multi_late_cal"))
+        cal = calibrated_meta(meta_rows, c.names, method, calibration_folds, seed)
+        out.append(_labelled(cal.predict(test), "multi_late_cal"))
     return out, meta_rows, meta
 
 
@@ -261,6 +262,7 @@ class FinalModels:
     bases: dict[str, FittedForest]
     meta: MetaModel
     calibrators: dict[str, calibration.Calibrator] = field(default_factory=dict)
+    calibrator_meta: dict[str, dict] = field(default_factory=dict)
 
 
 def fit_final(
@@ -310,3 +312,16 @@ def fit_oof_calibrators(
         for k in ("early", "late")
     }
     return {} if any(v is None for v in fitted.values()) else fitted
+
+
+def add_oof_calibrators(
+    models: FinalModels, oof: DataFrame, method: str = "sigmoid", clip: float = calibration.CLIP
+) -> FinalModels:
+    """Fit the maps of the fused streams and note what each was fitted on."""
+    models.calibrators = fit_oof_calibrators(oof, method, clip)
+    rows = finite_filter(oof.filter(F.col("model").isin("multi_early", "multi_late")))
+    for r in calibration.calibrator_meta(rows, method, clip, by=["model"]).collect():
+        k = r.model.removeprefix("multi_")
+        if k in models.calibrators:
+            models.calibrator_meta[k] = {f: r[f] for f in r.__fields__ if f != "model"}
+    return models

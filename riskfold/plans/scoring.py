@@ -129,12 +129,13 @@ def score_calibrated(models: FinalModels, out: DataFrame, clip: float = 0.0) ->
     fold-calibrated streams, not on these.
     """
     have = all(k in models.calibrators for k in ("early", "late"))
-    added = []
     for k in ("early", "late"):
-        raw = F.col(f"risk_multi_{k}_raw")
-        p = models.calibrators[k].apply(clip_probability(raw, clip)) if have else raw
-        added.append(p.alias(f"risk_multi_{k}"))
-    return out.select("*", *added, F.lit("oof_map" if have else "none").alias("calibration_source"))
+        raw, name = F.col(f"risk_multi_{k}_raw"), f"risk_multi_{k}"
+        if have:
+            out = models.calibrators[k].calibrate(out.withColumn(name, clip_probability(raw, clip)), name, name)
+        else:
+            out = out.withColumn(name, raw)
+    return out.withColumn("calibration_source", F.lit("oof_map" if have else "none"))
 
 
 def score_table(

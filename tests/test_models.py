@@ -48,8 +48,7 @@ def run(cohorts):
 @pytest.fixture(scope="module")
 def final(cohorts, run):
     f = multi_source.fit_final(cohorts, CFG)
-    f.calibrators = multi_source.fit_oof_calibrators(run.oof)
-    return f
+    return multi_source.add_oof_calibrators(f, run.oof)
 
 
 def test_param_draws():
@@ -149,17 +148,19 @@ def test_sigmoid_maps_are_stationary(spark):
     assert abs(((q - t) * p).sum()) < 1e-3 and abs((q - t).sum()) < 1e-3
 
 
-def test_isotonic_is_monotone_clamped_and_interpolated(spark):
+def test_isotonic_is_monotone_clamped_and_interpolated(spark, tmp_path):
     rows = [(0.1, 0), (0.2, 1), (0.3, 0), (0.3, 0), (0.6, 1), (0.8, 1)]
     df = spark.createDataFrame(rows, "p double, y_true int")
     cal = calibration.fit_isotonic(df)
     new = spark.createDataFrame([(x,) for x in (0.0, 0.1, 0.15, 0.2, 0.3, 0.45, 0.6, 0.9, None)], "p double")
-    got = [r[0] for r in new.select(cal.apply(F.col("p"))).collect()]
     third = 1 / 3
-    assert got == pytest.approx([0, 0, third / 2, third, third, 2 * third, 1, 1, None], abs=1e-9)
-    assert calibration.from_dict(cal.to_dict()) == cal
-    one = calibration.Isotonic((0.4,), (0.25,))
-    assert new.select(one.apply(F.col("p"))).first()[0] == 0.25
+    want = {0.0: 0, 0.1: 0, 0.15: third / 2, 0.2: third, 0.3: third, 0.45: 2 * third, 0.6: 1, 0.9: 1}
+    again = calibration.load(spark, cal.save(str(tmp_path)), str(tmp_path))
+    one = calibration.Isotonic(spark.createDataFrame([(0.4, 0.25)], "x double, y double"))
+    for c in (cal, again):
+        got = {r.p: r.p_cal for r in c.calibrate(new).collect()}
+        assert got.pop(None) is None and got == pytest.approx(want, abs=1e-9)
+    assert {r.p_cal for r in one.calibrate(new).collect()} == {0.25, None}
 
 
 def test_no_calibrator_for_one_class(spark):
@@ -247,6 +248,10 @@ def test_single_source_run(spark, accounts):
 def test_saved_models_score_alike(spark, cohorts, final):
     path = artifacts.save_models(final, f"{shared_dir(spark)}/models-test")
     loaded = artifacts.load_models(spark, path, ["profile", "orders"])
+    n, pos = cohorts.wide.agg(F.count("*"), F.sum("y_true")).first()
+    for k in ("early", "late"):  # what each map was fitted on is saved with it
+        meta = loaded.calibrator_meta[k]
+        assert meta == final.calibrator_meta[k] and (meta["n_oof"], meta["n_pos"], meta["method"]) == (n, pos, "sigmoid")
     new = cohorts.wide.drop("fold_id", "y_true")
     thr = spark.createDataFrame(
         [("multi_early", "f1_opt", "0.375", 1), ("multi_late", None, "0.2", 1), (" multi_late", "x", "0.2", 1),

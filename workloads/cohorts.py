@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskfold.functions import scalars
-from riskfold.functions.scaling import shared_dir
-from riskfold.operators import attribution, calibration, cohort, curves, features, folds, models
+from riskfold.functions.scaling import shared_dir, written
+from riskfold.operators import attribution, calibration, cohort, curves, features, folds, isotonic, models
 from riskfold.operators import summaries, thresholds
 from riskfold.plans import scoring
 from riskfold.sources import tables
@@ -489,14 +489,19 @@ def _apply_calibrator(spark, sf):
 
 
 def _fit_isotonic(spark, sf):
-    """Monotone map of the two coarse streams at every distinct score."""
+    """Monotone map of every stream at every distinct score."""
     s = scores(spark, sf)
-    out = []
-    for m in ("disc", "qty"):
-        rows = s.filter(F.col("model") == m)
-        fitted = calibration.fit_isotonic(rows)
-        out.append(rows.select("model", "p").distinct().withColumn("p_cal", fitted.apply(F.col("p"))))
-    return tidy(models.union_all(out))
+    knots = written(isotonic.isotonic_knots(s, ["model"]), "isotonic-knots")
+    return tidy(isotonic.apply_knots(s.select("model", "p").distinct(), knots, ["model"]))
+
+
+def _apply_isotonic(spark, sf):
+    """Maps fitted on the other folds, at every row of the first: between knots and outside."""
+    s = scores(spark, sf)
+    fitted = isotonic.isotonic_knots(s.filter("fold_id <> 1"), ["model"])
+    knots = written(fitted, "isotonic-knots")
+    mapped = isotonic.apply_knots(s.filter("fold_id = 1"), knots, ["model"])
+    return tidy(mapped.groupBy("model", "p", "p_cal").agg(F.count(F.lit(1)).alias("n")))
 
 
 def _meta(spark, sf):
@@ -563,6 +568,7 @@ QUERIES = {
     "linear_attribution_correlated": _linear_correlated,
     "binary_flags": _flags,
     "apply_calibrator": _apply_calibrator,
+    "apply_calibrator_isotonic": _apply_isotonic,
     "fit_isotonic": _fit_isotonic,
     "calibrator_meta": _meta,
     "guard_two_classes": _two_classes,
@@ -622,17 +628,39 @@ def _seed_sql() -> str:
     )
 
 
+def _hull_sql(rows: str = "scores") -> str:
+    """Corners of the convex minorant of the running sums, found from one to the next.
+
+    Slopes between corners are the monotone fit. Of equally steep points the farthest is next.
+    """
+    return f"""g AS (SELECT model, p, SUM(y_true)::DOUBLE AS pos, COUNT(*)::DOUBLE AS n FROM {rows} GROUP BY model, p),
+      c AS (SELECT model, p, SUM(pos) OVER w AS cp, SUM(n) OVER w AS cn, LEAD(p) OVER (PARTITION BY model ORDER BY p) AS after
+            FROM g WINDOW w AS (PARTITION BY model ORDER BY p)),
+      hull(model, cp, cn, lo, hi, slope, after) AS (
+        SELECT model, 0.0::DOUBLE, 0.0::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, MIN(p) FROM c GROUP BY model
+        UNION ALL
+        SELECT model, best.cp, best.cn, after, best.p, best.slope, best.after FROM (
+          SELECT h.model, h.after, ARG_MIN({{'cp': c.cp, 'cn': c.cn, 'p': c.p, 'after': c.after,
+                   'slope': (c.cp - h.cp) / (c.cn - h.cn)}}, ((c.cp - h.cp) / (c.cn - h.cn), -c.cn)) AS best
+          FROM hull h JOIN c ON c.model = h.model AND c.cn > h.cn GROUP BY h.model, h.after) s),
+      blocks AS (SELECT model, lo, hi, slope FROM hull WHERE slope IS NOT NULL)"""
+
+
 def _isotonic_sql() -> str:
-    """Max-min form of the monotone fit: the largest over starts of the smallest mean over ends."""
-    return f"""WITH {SCORES_SQL}, g AS (
-      SELECT model, p, SUM(y_true) AS pos, COUNT(*) AS n FROM scores WHERE model IN ('disc', 'qty') GROUP BY model, p),
-      c AS (SELECT model, p, SUM(pos) OVER w AS cp, SUM(n) OVER w AS cn, SUM(pos) OVER w - pos AS bp,
-                   SUM(n) OVER w - n AS bn FROM g WINDOW w AS (PARTITION BY model ORDER BY p)),
-      spans AS (SELECT a.model, a.p AS lo, b.p AS hi, (b.cp - a.bp)::DOUBLE / (b.cn - a.bn) AS mean
-                FROM c a JOIN c b ON a.model = b.model AND a.p <= b.p),
-      mins AS (SELECT c.model, c.p, s.lo, MIN(s.mean) AS m FROM c JOIN spans s
-               ON s.model = c.model AND s.lo <= c.p AND s.hi >= c.p GROUP BY c.model, c.p, s.lo)
-      SELECT model, ROUND(p, 6) AS p, ROUND(MAX(m), 6) AS p_cal FROM mins GROUP BY model, p"""
+    return f"""WITH RECURSIVE {SCORES_SQL}, {_hull_sql()}
+      SELECT c.model, ROUND(p, 6) AS p, ROUND(slope, 6) AS p_cal
+      FROM c ASOF JOIN blocks b ON b.model = c.model AND b.lo <= c.p"""
+
+
+def _apply_isotonic_sql() -> str:
+    return f"""WITH RECURSIVE {SCORES_SQL}, others AS (SELECT * FROM scores WHERE fold_id <> 1), {_hull_sql("others")},
+      knots AS (SELECT model, lo AS x, slope AS y FROM blocks UNION SELECT model, hi, slope FROM blocks),
+      asked AS (SELECT model, p, COUNT(*) AS n FROM scores WHERE fold_id = 1 GROUP BY model, p),
+      near AS (SELECT a.model, a.p, a.n, l.x AS x0, l.y AS y0, h.x AS x1, h.y AS y1
+        FROM asked a ASOF LEFT JOIN knots l ON l.model = a.model AND l.x <= a.p
+        ASOF LEFT JOIN knots h ON h.model = a.model AND h.x >= a.p)
+      SELECT model, ROUND(p, 6) AS p, n, ROUND(CASE WHEN x0 IS NULL THEN y1 WHEN x1 IS NULL OR x0 = x1 THEN y0
+        ELSE y0 + (y1 - y0) * (p - x0) / (x1 - x0) END, 6) AS p_cal FROM near"""
 
 
 _LINE_ORDER = (
@@ -773,6 +801,7 @@ ORACLES = {
       ROUND(MIN(c), 6) AS min_cal, ROUND(MAX(c), 6) AS max_cal, COUNT(*) AS n
       FROM (SELECT *, 1 / (1 + EXP(-({PLATT_A} * p + {PLATT_B})))::DOUBLE AS c FROM scores) GROUP BY model, y_true""",
     "fit_isotonic": _isotonic_sql(),
+    "apply_calibrator_isotonic": _apply_isotonic_sql(),
     "calibrator_meta": f"""WITH {ODD_SQL} SELECT COUNT(*) AS n_oof, CAST(SUM(y_true) AS BIGINT) AS n_pos,
       ROUND(AVG(y_true), 6) AS prevalence, 'sigmoid' AS method, ROUND(1e-6::DOUBLE, 6) AS clip FROM clean""",
     "guard_two_classes": """SELECT l_linestatus || '_' || CAST(TRUNC(l_tax * 100) AS INTEGER) AS model,

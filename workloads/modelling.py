@@ -76,13 +76,22 @@ def single_of(spark, sf) -> single_source.SingleRun:
     )
 
 
+def isotonic_of(spark, sf) -> multi_source.Run:
+    """Early fusion calibrated by monotone maps."""
+    return _once(
+        spark, sf, "isotonic",
+        lambda: multi_source.evaluate(
+            cohorts_of(spark, sf), CFG, "isotonic", CALIBRATION_FOLDS, ("early",)
+        ),
+    )
+
+
 def final_of(spark, sf) -> multi_source.FinalModels:
     """The final models and their calibrators."""
 
     def make():
         final = multi_source.fit_final(cohorts_of(spark, sf), CFG)
-        final.calibrators = multi_source.fit_oof_calibrators(run_of(spark, sf).oof)
-        return final
+        return multi_source.add_oof_calibrators(final, run_of(spark, sf).oof)
 
     return _once(spark, sf, "final", make)
 
@@ -263,6 +272,13 @@ def _loaded_equal(spark, sf):
     return models.union_all(parts)
 
 
+def _calibrator_metadata(spark, sf):
+    """What the saved folder says about the rows each map was fitted on."""
+    rows = [{"model": k, **m} for k, m in loaded_of(spark, sf).calibrator_meta.items()]
+    schema = "model string, method string, clip double, n_oof long, n_pos long, prevalence double"
+    return tidy(spark.createDataFrame(rows, schema))
+
+
 def _scored_rows(spark, sf):
     """Every new subject, and whether all its risks are probabilities."""
     out = _score_calibrated(spark, sf)
@@ -301,6 +317,9 @@ QUERIES = {
     "train_meta_logistic": _meta_fit,
     "late_fusion_meta_models": _metas,
     "calibrate_cv": _calibrated,
+    "calibrate_cv_isotonic": lambda s, d: tidy(
+        isotonic_of(s, d).oof.filter("model = 'multi_early_cal'")
+    ),
     "run_performance_matrix": lambda s, d: tidy(thresholds.performance_matrix(run_of(s, d).oof)),
     "run_evaluation_tables": lambda s, d: tidy(evaluation.curve_table(run_of(s, d).oof)),
     "fit_platt": _fit_platt,
@@ -324,6 +343,10 @@ QUERIES = {
     "late_fusion_base_test_rows": lambda s, d: _rows(oof_of(s, d, "late", "base_")),
     "late_fusion_cv_rows": lambda s, d: _rows(oof_of(s, d, "late", "multi_late")),
     "calibrate_cv_rows": lambda s, d: _rows(_calibrated(s, d)),
+    "calibrate_cv_isotonic_rows": lambda s, d: _rows(
+        isotonic_of(s, d).oof.filter("model = 'multi_early_cal'")
+    ),
+    "calibrator_metadata": _calibrator_metadata,
     "load_models_equal": _loaded_equal,
     "score_calibrated_rows": _scored_rows,
     "linear_attribution_meta": _linear_meta,
@@ -402,6 +425,10 @@ ORACLES = {
     "late_fusion_base_test_rows": _run_sql("met", _BASES),
     "late_fusion_cv_rows": _run_sql("met", _LATE),
     "calibrate_cv_rows": _run_sql("met", [_EARLY[1], _LATE[1]]),
+    "calibrate_cv_isotonic_rows": _run_sql("met", [_EARLY[1]]),
+    "calibrator_metadata": f"""WITH {LABELS_SQL}, {INTERSECTION_SQL}
+      SELECT model, 'sigmoid' AS method, CAST(0.000001 AS DOUBLE) AS clip, COUNT(*) AS n_oof, CAST(SUM(y_true) AS BIGINT) AS n_pos,
+             ROUND(AVG(y_true), 6) AS prevalence FROM met, (VALUES ('early'), ('late')) m(model) GROUP BY model""",
     "load_models_equal": f"""WITH {LABELS_SQL}, {INTERSECTION_SQL}
       SELECT COUNT(*) AS n, CAST(0 AS BIGINT) AS n_off, model
       FROM met, (VALUES ('meta'), ('text'), ('vector'), ('early')) m(model) GROUP BY model""",
