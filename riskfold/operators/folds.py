@@ -16,6 +16,7 @@ SOURCE_SEED = {"lab": 11, "serology": 22, "genetics": 33, "clinical": 44}
 STAGE_SEED = {"single": 1000, "early": 2000, "late_inner": 3000, "late_base": 4000}
 FINAL_SEED = {"single": 9100, "early": 9200, "late_base": 9300}
 INNER_CV_SEED, SEARCH_SEED = 100, 200
+ATTRIBUTION_SEED = {"single": 1000, "multi": 2000}
 CALIBRATION_SEED = {"early": 7100, "late": 7200, "single": 3000, "deploy": 9999}
 
 

@@ -14,8 +14,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskfold.functions.scalars import meta_feature_name
 from riskfold.functions.scaling import written
-from riskfold.operators import calibration
+from riskfold.operators import attribution, calibration
 from riskfold.operators.cohort import (
     ID,
     LABEL,
@@ -26,10 +27,12 @@ from riskfold.operators.cohort import (
     join_probability,
 )
 from riskfold.operators.folds import (
+    ATTRIBUTION_SEED,
     CALIBRATION_SEED,
     FINAL_SEED,
     derive_seed,
     nested_folds,
+    sample_rows,
     source_seed,
     stratified_folds,
 )
@@ -47,6 +50,8 @@ from riskfold.operators.summaries import finite_filter
 from riskfold.plans.calibrated import calibrated_forest, calibrated_meta
 
 OUT = [ID, "fold_id", LABEL]
+META = "multi_late_meta"
+Forests = dict[tuple[str, int], FittedForest]  # by model and outer fold
 
 
 @dataclass
@@ -127,19 +132,33 @@ def _labelled(df: DataFrame, model: str) -> DataFrame:
     return df.select(*OUT, F.lit(model).alias("model"), "p")
 
 
-def single_source_fold(c: Cohorts, name: str, fold: int, cfg: SearchConfig) -> DataFrame:
-    """Held-out probabilities of one source's forest trained on the intersection."""
+def single_source_fold(
+    c: Cohorts, name: str, fold: int, cfg: SearchConfig, forests: Forests | None = None
+) -> DataFrame:
+    """Held-out probabilities of one source's forest trained on the intersection.
+
+    ``forests`` takes the fitted forest, here and below.
+    """
     seed = derive_seed("single", fold, name)
     model = fit_tuned(c.train(fold), c.columns[name], cfg, seed)
+    if forests is not None:
+        forests[f"single_{name}", fold] = model
     return _labelled(model.predict(c.test(fold), OUT), f"single_{name}")
 
 
 def early_fold(
-    c: Cohorts, fold: int, cfg: SearchConfig, method: str | None, calibration_folds: int
+    c: Cohorts,
+    fold: int,
+    cfg: SearchConfig,
+    method: str | None,
+    calibration_folds: int,
+    forests: Forests | None = None,
 ) -> list[DataFrame]:
     """Held-out probabilities of the forest over all sources, raw and calibrated."""
     train, test = c.train(fold), c.test(fold)
     model = fit_tuned(train, c.all_columns, cfg, derive_seed("early", fold))
+    if forests is not None:
+        forests["multi_early", fold] = model
     out = [_labelled(model.predict(test, OUT), "multi_early")]
     if method:
         seed = cfg.seed + CALIBRATION_SEED["early"] + fold
@@ -213,11 +232,12 @@ def late_fold(
 
 @dataclass
 class Run:
-    """Out-of-fold stream of a run, its meta-training rows and meta-models by fold."""
+    """Out-of-fold stream of a run; by fold its meta-training rows, meta-models and forests."""
 
     oof: DataFrame
     meta_rows: dict[int, DataFrame] = field(default_factory=dict)
     metas: dict[int, MetaModel] = field(default_factory=dict)
+    forests: Forests = field(default_factory=dict)
 
     def wide(self, names: Sequence[str]) -> DataFrame:
         return assemble_oof(self.oof, names)
@@ -236,9 +256,11 @@ def evaluate(
     for fold in range(1, cfg.outer_folds + 1):
         jobs = []
         if "single" in stages:
-            jobs += [(lambda n=n: [single_source_fold(c, n, fold, cfg)]) for n in c.names]
+            jobs += [
+                (lambda n=n: [single_source_fold(c, n, fold, cfg, run.forests)]) for n in c.names
+            ]
         if "early" in stages:
-            jobs.append(lambda: early_fold(c, fold, cfg, method, calibration_folds))
+            jobs.append(lambda: early_fold(c, fold, cfg, method, calibration_folds, run.forests))
         frames = [f for part in in_parallel(spark, jobs, cfg.parallelism) for f in part]
         if "late" in stages:
             late, run.meta_rows[fold], run.metas[fold] = late_fold(
@@ -250,6 +272,35 @@ def evaluate(
     return run
 
 
+def fold_attribution(
+    run: Run, c: Cohorts, cfg: SearchConfig, max_rows: int | None = None
+) -> DataFrame:
+    """``model, fold_id, feature, mean_abs, mean_signed``: what each fold's models rest on.
+
+    Forests are explained on the rows they were trained on, all of them in one job; ``max_rows``
+    asks for a seeded sample of each fold. The meta-model is split over its inputs.
+    """
+    parts = []
+    if run.forests:
+        explained = []
+        for (model, fold), fitted in sorted(run.forests.items()):
+            seed = cfg.seed + ATTRIBUTION_SEED[model.split("_")[0]] + fold
+            rows = sample_rows(c.train(fold), max_rows, seed)
+            explained.append(attribution.Explained(model, fold, fitted, rows))
+        parts.append(attribution.fold_attribution(explained))
+    for fold, meta in sorted(run.metas.items()):
+        named = {f"p_{n}": b for n, b in meta.coefficients.items()}
+        out = attribution.linear_attribution(run.meta_rows[fold], named)
+        out = out.withColumn("feature", meta_feature_name(F.col("feature")))
+        parts.append(out.select(F.lit(META).alias("model"), F.lit(fold).alias("fold_id"), *out.columns))
+    return union_all(parts)
+
+
+def mean_attribution(folds: DataFrame, cfg: SearchConfig) -> DataFrame:
+    """``model, feature, mean_abs``: the mean over the outer folds of ``fold_attribution``."""
+    return attribution.average_attribution(folds, cfg.outer_folds, ["model"])
+
+
 # ---------------------------------------------------------------- deployment
 
 

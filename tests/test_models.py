@@ -9,6 +9,7 @@ from riskfold.functions.scaling import shared_dir
 from riskfold.operators import attribution, calibration, cohort, curves, folds, models
 from riskfold.plans import calibrated, multi_source, scoring, single_source
 from riskfold.sources import artifacts
+from tests import plain_trees
 from workloads.lines import table
 
 SPACE = {
@@ -172,12 +173,12 @@ def test_no_calibrator_for_one_class(spark):
 
 def test_tree_contributions_add_up(spark, cohorts, final):
     fitted = final.early
-    leaves = attribution.forest_leaves(fitted.model, spark)
+    leaves = plain_trees.forest_leaves(fitted.model, spark)
     rows = fitted.vectors(cohorts.wide, ["subject_id"]).join(
         fitted.predict(cohorts.wide, ["subject_id"]), "subject_id"
     ).select(vector_to_array("features").alias("x"), "p").limit(200).collect()
     x, p = np.array([r.x for r in rows]), np.array([r.p for r in rows])
-    parts, base = attribution.forest_contributions(leaves, x)
+    parts, base = plain_trees.forest_contributions(leaves, x)
     assert np.allclose(base + sum(parts.values()), p, atol=1e-9)
 
 
@@ -186,7 +187,7 @@ def test_tree_contributions_equal_enumeration(spark, cohorts, final):
     from itertools import combinations
     from math import factorial
 
-    leaves = attribution.forest_leaves(final.early.model, spark)[:12]
+    leaves = plain_trees.forest_leaves(final.early.model, spark)[:12]
     x = np.array([r.x for r in final.early.vectors(cohorts.wide).select(
         vector_to_array("features").alias("x")).limit(5).collect()])
     used = sorted({s.slot for _, splits in leaves for s in splits})
@@ -200,7 +201,7 @@ def test_tree_contributions_equal_enumeration(spark, cohorts, final):
             total += value * factor
         return total
 
-    got, _ = attribution.forest_contributions(leaves, x)
+    got, _ = plain_trees.forest_contributions(leaves, x)
     m = len(used)
     for i in used:
         rest, want = [j for j in used if j != i], np.zeros(len(x))
@@ -218,6 +219,27 @@ def test_tree_attribution_table(cohorts, final):
     assert all(r.mean_abs >= abs(r.mean_signed) - 1e-12 for r in out)
 
 
+def test_attribution_of_a_run(cohorts, run):
+    """One job equals forest by forest; contributions lead from the base to the mean probability."""
+    folds = multi_source.fold_attribution(run, cohorts, CFG)
+    rows = folds.collect()
+    assert {(r.model, r.fold_id) for r in rows} == {
+        (m, k) for m in ("single_profile", "single_orders", "multi_early", multi_source.META) for k in (1, 2)
+    }
+    fitted, train = run.forests["multi_early", 2], cohorts.train(2)
+    alone = {r.feature: (r.mean_abs, r.mean_signed) for r in attribution.tree_attribution(fitted, train).collect()}
+    found = {r.feature: (r.mean_abs, r.mean_signed) for r in rows if (r.model, r.fold_id) == ("multi_early", 2)}
+    assert found.keys() == alone.keys() and all(found[f] == pytest.approx(alone[f]) for f in alone)
+    base = attribution.tree_contributions(fitted, train).first().base
+    mean = fitted.predict(train).agg(F.avg("p")).first()[0]
+    assert base + sum(v for _, v in found.values()) == pytest.approx(mean)
+    averaged = {(r.model, r.feature): r.mean_abs for r in multi_source.mean_attribution(folds, CFG).collect()}
+    both = [r.mean_abs for r in rows if (r.model, r.feature) == ("single_orders", "top_price")]
+    assert averaged["single_orders", "top_price"] == pytest.approx(sum(both) / 2)
+    few = multi_source.fold_attribution(run, cohorts, CFG, max_rows=20)
+    assert few.count() == folds.count()
+
+
 def test_linear_attribution_splits_the_margin(spark):
     rng = np.random.default_rng(5)
     a = rng.normal(size=600)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskfold.functions import scalars
-from riskfold.functions.scaling import shared_dir
+from riskfold.functions.scaling import shared_dir, written
 from riskfold.operators import attribution, calibration, cohort, curves, models
 from riskfold.operators import summaries, thresholds
 from riskfold.plans import evaluation, multi_source, scoring, single_source
@@ -64,7 +64,8 @@ def run_of(spark, sf) -> multi_source.Run:
     """The whole evaluation, put together from its three stages."""
     single, early, late = (stage_of(spark, sf, s) for s in ("single", "early", "late"))
     oof = models.union_all([single.oof, early.oof, late.oof])
-    return multi_source.Run(oof, late.meta_rows, late.metas)
+    forests = {**single.forests, **early.forests}
+    return multi_source.Run(oof, late.meta_rows, late.metas, forests)
 
 
 def single_of(spark, sf) -> single_source.SingleRun:
@@ -286,6 +287,32 @@ def _scored_rows(spark, sf):
     return out.select(cohort.ID, F.lit(len(risks)).alias("n_risks"), _within(*risks))
 
 
+def fold_attribution_of(spark, sf) -> DataFrame:
+    """Attribution of every fold's models on all their training rows."""
+    return _once(
+        spark, sf, "attribution",
+        lambda: written(
+            multi_source.fold_attribution(run_of(spark, sf), cohorts_of(spark, sf), CFG), "attribution"
+        ),
+    )
+
+
+def _attribution_features(spark, sf):
+    """Features of the models, in how many folds, and whether the mean is that of the folds."""
+    folds = fold_attribution_of(spark, sf)
+    mean = multi_source.mean_attribution(folds, CFG)
+    each = folds.groupBy("model", "feature").agg(
+        F.count(F.lit(1)).alias("n_folds"),
+        F.min((F.col("mean_abs") >= F.abs("mean_signed") - 1e-12).cast("int")).alias("bounded"),
+        F.avg("mean_abs").alias("expected"),
+    )
+    same = (F.abs(F.col("expected") - F.col("mean_abs")) <= 1e-9).cast("int")
+    known = F.col("model").isin("single_text", "single_vector", multi_source.META)
+    return each.join(mean, ["model", "feature"]).filter(known).select(
+        "model", "feature", "n_folds", "bounded", same.alias("averaged")
+    )
+
+
 def _linear_meta(spark, sf):
     """Attribution of the meta-model inputs, averaged over outer folds."""
     run = stage_of(spark, sf, "late")
@@ -350,6 +377,11 @@ QUERIES = {
     "load_models_equal": _loaded_equal,
     "score_calibrated_rows": _scored_rows,
     "linear_attribution_meta": _linear_meta,
+    "run_fold_attribution": lambda s, d: tidy(fold_attribution_of(s, d)),
+    "run_attribution": lambda s, d: tidy(
+        multi_source.mean_attribution(fold_attribution_of(s, d), CFG)
+    ),
+    "run_attribution_features": _attribution_features,
 }
 
 INTERSECTION_SQL = """
@@ -416,6 +448,11 @@ def _meta_sql() -> str:
 ORACLES = {
     "tree_attribution_additivity": f"""WITH {LABELS_SQL}
       SELECT COUNT(*) AS n, CAST(0 AS BIGINT) AS n_off FROM labelled""",
+    "run_attribution_features": f"""SELECT model, feature, {CFG.outer_folds}::BIGINT AS n_folds, 1 AS bounded, 1 AS averaged
+      FROM (VALUES ('single_text', 'n_chars'), ('single_text', 'n_len'), ('single_text', 'n_digits'),
+        ('single_text', 'n_lines'), ('single_text', 'n_spaces'), ('{multi_source.META}', 'Meta'),
+        ('{multi_source.META}', 'Text'), ('{multi_source.META}', 'Vector')) t(model, feature)
+      UNION ALL SELECT 'single_vector', 'v:' || i, {CFG.outer_folds}, 1, 1 FROM range(0, 64) r(i)""",
     "single_source_baseline_rows": _run_sql("met", [f"single_{n}" for n in _SOURCES]),
     "single_source_nested_cv_rows": _run_sql("labelled", ["uncalibrated", "calibrated"]),
     "early_fusion_cv_rows": _run_sql("met", _EARLY),
