@@ -1,11 +1,13 @@
 r"""Chat formatting in budgeted windows.
 
-The prefix sums of turn tokens cut a conversation: turns that lie whole between two multiples
-of the window's share of the budget form one span, a turn that crosses a multiple is a
-span of its own. So spans are turn-aligned, need no walk from turn to turn, and hold no more
-than the share, save a single turn that is longer. A window is the system turn, as many turns
-before the span as fit the history share, and the span. Every turn is new in one window;
-only new assistant turns are under the loss mask, so repeated targets are masked.
+What the system turn costs comes off the budget first; history and span share the rest. The
+prefix sums of turn tokens cut a conversation: turns that lie whole between two multiples
+of the span's share form one span, a turn that crosses a multiple is a span of its own. So
+spans are turn-aligned, need no walk from turn to turn, and hold no more than the share,
+save a single turn that is longer. A window is the system turn, as many turns before the
+span as fit the history share and what the span leaves, and the span; it is above budget only
+where a turn alone is longer than what the system turn leaves. Every turn is new in one
+window; only new assistant turns are under the loss mask, so repeated targets are masked.
 
 The template is ``<|im_start|>role``, a line feed, the text, ``<|im_end|>``, a line feed. In
 texts and roles each backslash is doubled, ``<|`` becomes ``<\|`` and, in roles, a line feed
@@ -13,8 +15,10 @@ becomes ``\n``; so no control string can come from a text, and :func:`parsed` gi
 turns. Masks are spans of characters of the formatted window.
 
 Null texts and roles count as empty. Turns are ordered by number (nulls first), then role and
-text; equal rows stay. Rows without a conversation id are one conversation. The prefix sums
-of a long conversation are taken chunk by chunk. Extra columns are not read.
+text; equal rows stay, and so do turns with equal or no numbers. Rows without a conversation id are
+one conversation. The prefix sums of a long conversation are taken chunk by chunk; turns
+with one number or none are one chunk. An empty table has no windows. Extra columns are not
+read.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
-BUDGET, SHARES = 512, (0.25, 0.25, 0.5)  # tokens of a window; of system turn, history and span
+BUDGET, SHARES = 512, (1, 2)  # tokens of a window; parts of history and span beside the system turn
 MARK_TOKENS = 4
 CHUNK = 1024
 
@@ -48,7 +52,8 @@ def word_tokens(text: Column) -> Column:
 
 
 def _prefix(turns: DataFrame) -> DataFrame:
-    """Adds ``before``, tokens of earlier turns of the conversation, and ``nth`` of the turn.
+    """Adds ``before``, tokens of earlier turns of the conversation, ``nth`` of the turn, and
+    ``lead``, tokens of the system turn that the conversation begins with, if any.
 
     Chunks of turn numbers are summed first, so that a conversation with most of the rows is
     not one group; within a chunk and over the chunks windows count on.
@@ -59,12 +64,17 @@ def _prefix(turns: DataFrame) -> DataFrame:
         "before", F.sum("tokens").over(inside.rowsBetween(Window.unboundedPreceding, -1))
     )
     earlier = Window.partitionBy("conv").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    sums = turns.groupBy("conv", "chunk").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n"))
+    first = F.min_by(F.when(F.col("role") == "system", F.col("tokens")).otherwise(0), F.struct("turn", "role", "text"))
+    sums = turns.groupBy("conv", "chunk").agg(
+        F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n"), first.alias("first")
+    )
+    chunks = Window.partitionBy("conv").orderBy("chunk")
     sums = sums.select(
         F.col("conv").alias("c_conv"),
         F.col("chunk").alias("c_chunk"),
         F.coalesce(F.sum("t").over(earlier), F.lit(0)).alias("t0"),
         F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n0"),
+        F.first("first").over(chunks).alias("lead"),
     )
     same = F.col("conv").eqNullSafe(F.col("c_conv")) & F.col("chunk").eqNullSafe(F.col("c_chunk"))
     both = counted.join(sums, same)
@@ -83,7 +93,7 @@ def windows(
     role_col: str = "role",
     text_col: str = "text",
     budget: int = BUDGET,
-    shares: tuple[float, float, float] = SHARES,
+    shares: tuple[float, float] = SHARES,
     tokens=word_tokens,
 ) -> DataFrame:
     """One row per window: ``conv_id, window, formatted, loss, n_repeated, n_new``.
@@ -92,7 +102,6 @@ def windows(
     turns stand in an earlier window as well. Windows of a conversation go by ``window``.
     ``tokens`` gives the cost of a text; marks and role cost ``MARK_TOKENS``.
     """
-    history, share = (max(1, int(budget * x)) for x in shares[1:])
     turns = rows.select(
         F.col(conv_col).alias("conv"),
         F.col(turn_col).alias("turn"),
@@ -100,19 +109,28 @@ def windows(
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     )
     turns = _prefix(turns.withColumn("tokens", tokens(F.col("text")).cast("long") + MARK_TOKENS))
+    left = F.greatest(F.lit(budget) - F.col("lead"), F.lit(1))
+    turns = turns.withColumn("left", left)
+    turns = turns.withColumn("history", F.floor(F.col("left") * (shares[0] / sum(shares))))
+    turns = turns.withColumn("share", F.greatest(F.col("left") - F.col("history"), F.lit(1)))
+    history, share = F.col("history"), F.col("share")
     cell, last = (F.floor(x / share) for x in (F.col("before"), F.col("before") + F.col("tokens") - 1))
     turns = turns.withColumn("span", 2 * cell + (cell != last).cast("long"))
     turns = turns.withColumn("system", (F.col("nth") == 0) & (F.col("role") == "system"))
     item = F.struct("nth", F.lit(True).alias("new"), "role", "text")
     own = turns.select("conv", "span", item.alias("item"))
-    spans = turns.groupBy("conv", "span").agg(F.min("before").alias("start"), F.max("system").alias("has"))
-    spans = spans.select(F.col("conv").alias("s_conv"), F.col("span").alias("s_span"), "start", "has")
+    spans = turns.groupBy("conv", "span").agg(
+        F.min("before").alias("start"),
+        F.max("system").alias("has"),
+        F.least(F.max("history"), F.max("left") - F.sum("tokens")).alias("room"),
+    )
+    spans = spans.select(F.col("conv").alias("s_conv"), F.col("span").alias("s_span"), "start", "has", "room")
     again = F.struct("nth", F.lit(False).alias("new"), "role", "text").alias("item")
     # Spans that may start within the history share after a turn; few, as spans fill cells.
     ahead = F.sequence(2 * cell, 2 * F.floor((F.col("before") + history) / share) + 1)
     earlier = turns.filter("not system").withColumn("to", F.explode(ahead)).filter("to > span")
     met = F.col("conv").eqNullSafe(F.col("s_conv")) & (F.col("to") == F.col("s_span"))
-    past = earlier.join(spans, met).filter(F.col("start") - F.col("before") <= history)
+    past = earlier.join(spans, met).filter(F.col("start") - F.col("before") <= F.col("room"))
     heads = turns.filter("system").join(
         spans.filter("not has"), F.col("conv").eqNullSafe(F.col("s_conv"))
     )

@@ -8,8 +8,11 @@ layouts in the module, a fixed number with a fixed seed; other labelled pages ca
 
 Scripts, styles, the head and comments in the markup are no blocks. Character references are decoded,
 white space within a block is one blank, blocks are trimmed and joined in page order by two
-line feeds. Broken markup is read as far as it goes: unclosed tags end with their parent.
-Null pages have an empty text. Pages of any length are read whole. Extra columns stay.
+line feeds. Broken markup is read as far as it goes: unclosed tags end with their parent, a
+head ends at the first tag or text that cannot stand in it, and a tag whose quotes are never
+closed at its next ">". Null pages have an empty text. Pages of any length are read whole, in
+time that grows with their length. Equal rows stay, an empty table stays empty, and so do
+extra columns.
 """
 
 from __future__ import annotations
@@ -17,6 +20,8 @@ from __future__ import annotations
 import html
 import random
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -61,11 +66,9 @@ HINTS = {
 }
 HINT = {w: kind for kind, words in HINTS.items() for w in words.split()}
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>|[^<]+|<",
-    re.S,
-)
+IN_HEAD = RAW | {"head", "meta", "link", "base", "basefont", "bgsound", "noframes"}
+NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+SPECIAL = re.compile("[>\"']")
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -73,12 +76,37 @@ WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 @dataclass
 class Block:
     text: str
-    tags: tuple[str, ...]
+    tags: frozenset[str]  # of all ancestors
+    own: str  # the nearest that is not inline
     hints: frozenset[str]
     linked: float
     label: str = ""
 
 
+@dataclass(frozen=True)
+class Open:
+    """An open element with what it hands down: sets are shared with the parent where equal."""
+
+    name: str
+    tags: frozenset[str] = frozenset()
+    own: str = "none"
+    hints: frozenset[str] = frozenset()
+    label: str = ""
+
+    def child(self, name: str, attributes: str) -> Open:
+        hints, label = _hints(attributes)
+        return Open(
+            name,
+            self.tags if name in self.tags else self.tags | {name},
+            self.own if name in INLINE else name,
+            self.hints if hints <= self.hints else self.hints | hints,
+            label or self.label,
+        )
+
+
+ROOT = Open("")
+
+
 def _hints(attributes: str) -> tuple[frozenset[str], str]:
     """What the words of classes, ids and roles tell; and a label, which only training pages have."""
     if not attributes or "=" not in attributes:
@@ -88,52 +116,113 @@ def _hints(attributes: str) -> tuple[frozenset[str], str]:
     return frozenset(HINT[w] for w in words if w in HINT), label[1] if label else ""
 
 
+class Tags:
+    """Where the tags of a page end, found by one pass from its end.
+
+    A ``>`` in quotes does not end a tag, unless a quote is never closed.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.at = page, [m.start() for m in SPECIAL.finditer(page)]
+        self.quoted = [-1] * (len(self.at) + 1)  # end of a tag that meets this mark outside quotes
+        self.plain = [-1] * (len(self.at) + 1)  # next > of any kind
+        later: dict[str, int] = {}
+        for k in range(len(self.at) - 1, -1, -1):
+            mark = page[self.at[k]]
+            if mark == ">":
+                self.quoted[k] = self.plain[k] = self.at[k]
+            else:
+                self.quoted[k] = self.quoted[later[mark] + 1] if mark in later else -1
+                self.plain[k] = self.plain[k + 1]
+                later[mark] = k
+
+    def end(self, start: int, quotes: bool) -> int:
+        """Place of the > that ends a tag read from ``start`` on, or -1."""
+        k = bisect_left(self.at, start)
+        found = self.quoted[k] if quotes else -1
+        return found if found >= 0 else self.plain[k]
+
+
+def tokens(page: str) -> Iterator[tuple[int, str, str, str, str]]:
+    """``end, text, slash, name, attributes`` of each piece: text without a name, or a tag with one.
+
+    Comments and declarations have neither. The reader may send the place to go on from.
+    """
+    tags, at = Tags(page), 0
+    while at < len(page):
+        if page[at] != "<":
+            end = page.find("<", at)
+            end = len(page) if end < 0 else end
+            token = (end, page[at:end], "", "", "")
+        elif page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            token = (len(page) if end < 0 else end + 3, "", "", "", "")
+        elif (end := tags.end(at, False)) >= 0 and (m := NAME.match(page, at + 1)):
+            end = tags.end(m.end(), True)
+            token = (end + 1, "", m[1], m[2].lower(), page[m.end() : end])
+        elif end >= 0 and page[at + 1 : at + 2] in ("!", "?", "/"):
+            token = (end + 1, "", "", "", "")
+        else:
+            token = (at + 1, "<", "", "", "")
+        to = yield token
+        at = token[0] if to is None else to
+
+
 def leaf_blocks(page: str | None) -> list[Block]:
     """Leaf blocks in page order, those without text left out."""
     page = page or ""
-    stack: list[tuple[str, frozenset[str], str]] = []
+    stack: list[Open] = []
+    opened: Counter[str] = Counter()
     blocks: list[Block] = []
     held: list[str] = []
-    linked = at = 0
+    linked = 0
 
     def flush() -> None:
         nonlocal linked
         if held:
             text = " ".join(html.unescape("".join(held)).split())
             if text:
-                hints = frozenset().union(*(s[1] for s in stack))
-                label = next((s[2] for s in reversed(stack) if s[2]), "")
-                tags = tuple(s[0] for s in stack)
-                blocks.append(Block(text, tags, hints, min(1.0, linked / len(text)), label))
+                top = stack[-1] if stack else ROOT
+                share = min(1.0, linked / len(text))
+                blocks.append(Block(text, top.tags, top.own, top.hints, share, top.label))
             held.clear()
         linked = 0
 
     def close(names: set[str] | frozenset[str], scope: frozenset[str] = frozenset()) -> None:
+        if not any(opened[n] for n in names):
+            return
         for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in names:
+            if stack[i].name in names:
+                opened.subtract(x.name for x in stack[i:])
                 del stack[i:]
                 return
-            if stack[i][0] in scope:
+            if stack[i].name in scope:
                 return
 
-    while m := TOKEN.match(page, at):
-        at = m.end()
-        token = m[0]
-        if token[0] != "<" or token == "<":
-            if not any(s[0] == "head" for s in stack[:2]):
-                held.append(token)
-                if any(s[0] == "a" for s in stack[-4:]):
-                    linked += len(token)
+    read, to = tokens(page), None
+    while True:
+        try:
+            at, text, ends, name, attributes = read.send(to)
+        except StopIteration:
+            break
+        to = None
+        if text:
+            if stack and stack[-1].name == "head" and not text.isspace():
+                close({"head"})
+            if not any(x.name == "head" for x in stack[:2]):
+                held.append(text)
+                if any(x.name == "a" for x in stack[-4:]):
+                    linked += len(text)
             continue
-        name = (m[2] or m[5] or "").lower()
         if not name:
             continue
-        ends, attributes = m[1] or m[4], m[3] or m[6] or ""
         if name in RAW and not ends:
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            found = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+            to = found.end() if found else len(page)
             flush()
             continue
+        if not ends and name not in IN_HEAD:
+            close({"head"})
         if name not in INLINE:
             flush()
         elif name in VOID:
@@ -145,10 +234,9 @@ def leaf_blocks(page: str | None) -> list[Block]:
                 close(CLOSES[name], SCOPES)
             elif name not in INLINE:
                 close({"p"}, SCOPES)
-                if name == "body":
-                    close({"head"})
             if name not in VOID and not attributes.endswith("/"):
-                stack.append((name, *_hints(attributes)))
+                stack.append((stack[-1] if stack else ROOT).child(name, attributes))
+                opened[name] += 1
     flush()
     return blocks
 
@@ -159,14 +247,13 @@ def features(blocks: list[Block]) -> list[list[str]]:
         words = b.text.count(" ") + 1
         size = next(k for k, top in enumerate((2, 7, 15, 40, 1 << 60)) if words <= top)
         linked = "none" if not b.linked else "some" if b.linked < 0.5 else "most"
-        own = next((t for t in reversed(b.tags) if t not in INLINE), "none")
         place = "first" if i < 2 else "last" if i >= len(blocks) - 2 else "mid"
-        found = [f"in:{t}" for t in set(b.tags)] + [f"hint:{h}" for h in b.hints]
+        found = [f"in:{t}" for t in b.tags] + [f"hint:{h}" for h in b.hints]
         if not b.hints:
             found.append("hint:none")
         stop = b.text[-1] in ".!?…:;\"'”»"
-        found += ["one", f"own:{own}", f"size:{size}", f"linked:{linked}", f"stop:{stop}", f"place:{place}"]
-        found += [f"own:{own}&size:{size}", f"size:{size}&linked:{linked}&stop:{stop}"]
+        found += ["one", f"own:{b.own}", f"size:{size}", f"linked:{linked}", f"stop:{stop}", f"place:{place}"]
+        found += [f"own:{b.own}&size:{size}", f"size:{size}&linked:{linked}&stop:{stop}"]
         if "©" in b.text or "(c)" in b.text:
             found.append("sign:copyright")
         out.append(found)

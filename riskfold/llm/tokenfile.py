@@ -246,7 +246,7 @@ def tokenize(docs: DataFrame, tokenizer: str, end: int, id_col: str = "doc_id",
 
     Words are encoded by the library in batches, each once while a task remembers it; it splits
     texts at white space itself, so words apart give the ids of the text. Strings of special
-    tokens in a text are ordinary text.
+    tokens in a text become their ids, as the library does.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,7 +254,6 @@ def tokenize(docs: DataFrame, tokenizer: str, end: int, id_col: str = "doc_id",
         from tokenizers import Tokenizer
 
         library = Tokenizer.from_str(tokenizer)
-        library.encode_special_tokens = True
         known: dict[str, bytes] = {}
         last = np.array([end], "<u4").tobytes()
         for batch in batches:

@@ -1,8 +1,10 @@
 """Pipeline operators against plain versions, exact round trips and held-out accuracy."""
 
 import hashlib
+import json
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from math import log10
@@ -148,6 +150,34 @@ def test_odd_pages(spark, crf):
     assert html.extract(rows.filter("false"), crf).count() == 0
 
 
+def test_pages_without_a_written_head_or_body():
+    said = "<p>Hello there"
+    for page in (
+        f"<html><head><title>t</title>{said}",
+        f"<html><head><title>t</title><meta charset=x><script>a<p>b</script>{said}</html>",
+        f"<title>t</title>{said}",
+        f"<html><head></head><body>{said}",
+        "<html><head><title>t</title>Hello there",
+    ):
+        assert [b.text for b in html.leaf_blocks(page)] == ["Hello there"]
+
+
+@pytest.mark.parametrize(
+    "unit", ['<a x="', "<a ", "<a<", '<a "> ', "<!", "<p '>", "</", "<!--", "<script ", '">', "<b x='>\"", "<"]
+)
+def test_broken_pages_take_linear_time(unit):
+    """Two MB of it; a pattern that looks for each end anew would take hours."""
+    started = time.perf_counter()
+    blocks = html.leaf_blocks("<div>" * 1000 + unit * (2_000_000 // len(unit)) + "<p>end</p>")
+    assert time.perf_counter() - started < 60
+    assert len(blocks) <= 2_000_000
+
+
+def test_quotes_hide_the_end_of_a_tag():
+    page = "<p title='a > b' x=\"'>\">one</p><p x=\"never closed>two</p>"
+    assert [b.text for b in html.leaf_blocks(page)] == ["one", "two"]
+
+
 def test_viterbi_finds_the_best_labelling(crf):
     rng = random.Random(5)
     blocks = html.features(html.leaf_blocks(html.labelled_page(rng)))[:9]
@@ -232,7 +262,6 @@ def test_repeating_ids_shrink_and_damage_is_found():
 
 def expected_tokens(rows):
     tk = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tk.encode_special_tokens = True
     return [np.array([*e.ids, 1], "<u4") for e in tk.encode_batch([t or "" for _, t in rows], add_special_tokens=False)]
 
 
@@ -249,6 +278,10 @@ def test_token_files_of_the_table(spark, sf):
 def test_token_files_of_odd_rows(spark, odd, none, tmp_path):
     with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
         tokenizer = f.read()
+    marks = [t["content"] for t in json.loads(tokenizer)["added_tokens"]]
+    said = [f"a {m}b{m}{m} {m} c\n{m}\n" for m in marks] + ["".join(marks), " ".join(marks)]
+    more = spark.createDataFrame([(100 + i, t, None, None, 0) for i, t in enumerate(said)], SCHEMA)
+    odd = odd.unionByName(more, allowMissingColumns=True)
     for docs in (odd, none):
         path = str(tmp_path / f"t{docs.count()}")
         tokenfile.write(docs, tokenfile.tokenize(docs, tokenizer, 1), path)
@@ -305,9 +338,30 @@ def test_odd_chats(spark):
     for r in shown:
         words = len(r.formatted.split())
         assert words <= chat.BUDGET or r.n_new == 1
+    for r in made.collect():
+        assert r.formatted.count("<|im_start|>") == r.n_new + r.n_repeated
     assert chat.windows(frame.filter("false")).count() == 0
 
 
+@pytest.mark.parametrize("system", [0, 40, 300, 460, 600])
+def test_chat_windows_keep_the_budget(spark, system):
+    """Only a turn longer than what the system turn leaves makes a window larger."""
+    rng = random.Random(system)
+    turns = [("system", system)] * bool(system)
+    turns += [("user" if i % 2 else "assistant", rng.choice([1, 5, 30, 90, 200])) for i in range(60)]
+    rows = [(1, i, role, "w " * n) for i, (role, n) in enumerate(turns)]
+    made = chat.windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    left = chat.BUDGET - (system + chat.MARK_TOKENS if system else 0)
+    kept = made.select("*", chat.parsed(F.col("formatted")).alias("turns")).collect()
+    assert sum(r.n_new for r in kept) == len(rows)
+    for r in kept:
+        costs = [len(t.text.split()) + chat.MARK_TOKENS for t in r.turns]
+        assert r.turns[0].role == "system" or not system
+        assert sum(costs) <= chat.BUDGET or r.n_new == 1 and costs[-1] > left and r.n_repeated <= bool(system)
+    if system == 40:
+        assert any(r.n_repeated > 1 for r in kept)
+
+
 # -------------------------------------------------------------- 6 BPE
 
 
