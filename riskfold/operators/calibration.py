@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from riskfold.functions.scalars import clip_probability
 from riskfold.functions.scaling import written
+from riskfold.operators.curves import is_counted
 from riskfold.operators.isotonic import apply_knots, isotonic_knots
 from riskfold.operators.summaries import finite_filter
 
@@ -78,9 +79,14 @@ def sigmoid_input(p: Column, logit: bool, clip: float) -> Column:
 
 
 def distinct_scores(scores: DataFrame, x: Column) -> DataFrame:
-    """``x, pos, n``: equal scores pooled, so that fitting sees distinct values only."""
-    return scores.select(x.alias("x"), F.col("y_true").alias("y")).groupBy("x").agg(
-        F.sum(F.col("y").cast("double")).alias("pos"), F.count(F.lit(1)).cast("double").alias("n")
+    """``x, pos, n``: equal scores pooled, so that fitting sees distinct values only.
+
+    ``scores`` are rows with ``y_true``, or counts of them.
+    """
+    pos, n = (F.col("pos"), F.col("n")) if is_counted(scores) else (F.col("y_true"), F.lit(1))
+    rows = scores.select(x.alias("x"), pos.alias("pos"), n.alias("n"))
+    return rows.groupBy("x").agg(
+        F.sum(F.col("pos").cast("double")).alias("pos"), F.sum(F.col("n").cast("double")).alias("n")
     )
 
 

@@ -16,16 +16,37 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskfold.functions.scalars import ratio
-from riskfold.functions.scaling import score_edges, with_bucket
+from riskfold.functions.scaling import score_edges, with_bucket, written
 
 INF = float("inf")
 
 
+def is_counted(scores: DataFrame) -> bool:
+    """Whether a stream has been collapsed to counts ``pos`` and ``n`` already."""
+    return {"pos", "n"} <= set(scores.columns) and "y_true" not in scores.columns
+
+
 def score_counts(scores: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
-    """Positives and rows at each distinct score; a null or NaN score is on no curve."""
-    return scores.filter(F.col("p").isNotNull() & ~F.isnan("p")).groupBy(*by, "p").agg(
-        F.sum(F.col("y_true").cast("bigint")).alias("pos"), F.count(F.lit(1)).alias("n")
-    )
+    """Positives and rows at each distinct score; a null or NaN score is on no curve.
+
+    Counts by finer groups are rolled up, so one table of them serves every metric.
+    """
+    if is_counted(scores):
+        pos, n = F.sum("pos"), F.sum("n")
+    else:
+        pos, n = F.sum(F.col("y_true").cast("bigint")), F.count(F.lit(1))
+    kept = scores.filter(F.col("p").isNotNull() & ~F.isnan("p"))
+    return kept.groupBy(*by, "p").agg(pos.alias("pos"), n.alias("n"))
+
+
+def count_table(scores: DataFrame, by: Sequence[str] = ("model", "fold_id")) -> DataFrame:
+    """The stream as a written table of counts, for callers that read it several times.
+
+    Two passes over a stream cost less than writing its counts where scores hardly repeat.
+    """
+    if is_counted(scores):
+        return scores
+    return written(score_counts(scores, [c for c in by if c in scores.columns]), "score-counts")
 
 
 def cumulative_curve(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from riskfold.functions.scalars import clamp, is_finite
 from riskfold.functions.scaling import attach_small
-from riskfold.operators.curves import cumulative_curve, score_counts
+from riskfold.operators.curves import count_table, cumulative_curve, score_counts
 from riskfold.operators.thresholds import SUMMARY_METRICS
 
 DEFAULT_BINS = 10
@@ -64,10 +64,11 @@ def reliability_curve(
     Edges are linearly interpolated order statistics, found from the cumulative counts
     rather than by collecting scores, so they are exact at any size. A score belongs to
     the bin numbered by the inner edges strictly below it; empty bins do not appear.
+    Edges and bins read one table of counts.
     """
     by = list(by)
     present = scores.filter(~F.isnan("p"))  # before the clamp, which would take NaN for 1
-    clamped = present.withColumn("p", clamp(F.col("p"), 0.0, 1.0))
+    clamped = count_table(present.withColumn("p", clamp(F.col("p"), 0.0, 1.0)), by)
     edges = quantile_edges(clamped, bins, by)
     counts = attach_small(score_counts(clamped, by), edges, by, salt_by=["p"])
     binned = counts.withColumn("bin", F.size(F.filter("edges", lambda e: e < F.col("p"))))

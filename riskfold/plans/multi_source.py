@@ -60,7 +60,8 @@ class Cohorts:
 
     ``wide`` is the intersection, ``expanded`` the cohort of each source. Both carry the
     outer fold of the subject and its inner fold under every outer fold, null for subjects
-    outside the intersection: holding subjects out is a filter, not a join.
+    outside the intersection: holding subjects out is a filter, not a join. They are stored by
+    outer fold, so the files of a fold that is held out are not read.
     """
 
     wide: DataFrame
@@ -85,18 +86,23 @@ class Cohorts:
         """Expanded rows of one source outside the outer-test and inner-validation sets."""
         kept = F.col("fold_id") != fold
         if inner is not None:
-            kept = kept & (F.col("inner_folds")[fold] != inner)
+            kept = kept & (F.col(inner_fold(fold)) != inner)
         return self.expanded[name].filter(F.col("fold_id").isNull() | kept)
 
     def base_held(self, name: str, fold: int, inner: int | None = None) -> DataFrame:
         """Expanded rows of the held-out subjects: outer-test, or inner-validation."""
         if inner is None:
             return self.expanded[name].filter(F.col("fold_id") == fold)
-        held = (F.col("fold_id") != fold) & (F.col("inner_folds")[fold] == inner)
+        held = (F.col("fold_id") != fold) & (F.col(inner_fold(fold)) == inner)
         return self.expanded[name].filter(held)
 
 
-RESERVED = (ID, LABEL, "fold_id", "inner_folds")
+RESERVED = (ID, LABEL, "fold_id")
+
+
+def inner_fold(fold: int) -> str:
+    """Column with the inner fold under an outer fold."""
+    return f"inner_fold_{fold}"
 
 
 def build_cohorts(
@@ -107,22 +113,21 @@ def build_cohorts(
     Each is written once: every fit of the run starts from a filtered scan of it.
     """
     columns = {n: [c for c in df.columns if c != ID] for n, df in features.items()}
-    every = [c.lower() for cols in columns.values() for c in cols] + list(RESERVED)
+    folds = range(1, cfg.outer_folds + 1)
+    reserved = [*RESERVED, *map(inner_fold, folds)]
+    every = [c.lower() for cols in columns.values() for c in cols] + reserved
     if len(set(every)) < len(every):
-        raise ValueError(f"feature names must differ between sources and from {RESERVED}")
+        raise ValueError(f"feature names must differ between sources and from {reserved}")
     guard_labels(labels, "labels")
     wide = join_intersection(features, labels, order=order)
     outer = stratified_folds(wide.select(ID, LABEL), cfg.outer_folds, cfg.seed)
     inner = nested_folds(outer, cfg.outer_folds, cfg.inner_folds, cfg.seed)
-    # One entry per outer fold.
-    pairs = F.collect_list(F.struct("outer_fold", "inner_fold"))
-    plan = written(
-        inner.groupBy(ID, "fold_id").agg(F.map_from_entries(pairs).alias("inner_folds")), "folds"
-    )
-    wide = written(wide.join(plan, ID), "intersection")
+    flat = [F.max(F.when(F.col("outer_fold") == k, F.col("inner_fold"))).alias(inner_fold(k)) for k in folds]
+    plan = written(inner.groupBy(ID, "fold_id").agg(*flat), "folds")
+    wide = written(wide.join(plan, ID), "intersection", by="fold_id")
     guard_labels(wide, "intersection cohort")
     expanded = {
-        n: written(join_label(df, labels).join(plan, ID, "left"), f"expanded-{n}")
+        n: written(join_label(df, labels).join(plan, ID, "left"), f"expanded-{n}", by="fold_id")
         for n, df in features.items()
     }
     return Cohorts(wide, expanded, columns)
@@ -173,7 +178,7 @@ def inner_oof(c: Cohorts, fold: int, cfg: SearchConfig) -> DataFrame:
     For every inner fold and source the base model trains on the expanded cohort minus
     the outer-test and inner-validation ids and scores the validation ids.
     """
-    rows = c.train(fold).select(*OUT, F.col("inner_folds")[fold].alias("inner_fold"))
+    rows = c.train(fold).select(*OUT, F.col(inner_fold(fold)).alias("inner_fold"))
 
     def task(j: int, name: str):
         seed = derive_seed("late_inner", fold, name, j)

@@ -194,3 +194,27 @@ def test_summary_sd_forms(spark):
     df = spark.createDataFrame([("m", 0.5, 0.1), ("m", 0.7, 0.2)], "model string, auc double, auprc double")
     assert summaries.fold_summary(df, ddof=1).first().auc_sd == pytest.approx(np.std([0.5, 0.7], ddof=1))
     assert summaries.fold_summary(df, ddof=0).first().auc_sd == pytest.approx(0.1)
+
+
+def test_counts_serve_every_metric(spark, sf):
+    """Metrics of a table of counts equal those of its rows."""
+    from riskfold.operators import summaries
+    from workloads.lines import scores
+
+    rows = scores(spark, sf)
+    counted = curves.count_table(rows)
+    assert curves.count_table(counted) is counted and "y_true" not in counted.columns
+    for metric in (
+        thresholds.performance_matrix,
+        thresholds.oof_threshold_metrics,
+        thresholds.fold_threshold_metrics,
+        curves.fold_ranking,
+        summaries.reliability_curve,
+    ):
+        a, b = metric(rows), metric(counted)
+        key = [c for c, t in a.dtypes if t != "double"]
+        values = [c for c in a.columns if c not in key]
+        found = {tuple(r[c] for c in key): [r[c] for c in values] for r in a.collect()}
+        other = {tuple(r[c] for c in key): [r[c] for c in values] for r in b.collect()}
+        assert found.keys() == other.keys()
+        assert all(found[k] == pytest.approx(other[k], nan_ok=True) for k in found)

@@ -112,6 +112,14 @@ def test_no_fit_sees_a_held_out_subject(cohorts, monkeypatch):
         assert sum(not ids & p for p in parts) == 1
 
 
+def test_held_out_folds_are_not_read(cohorts):
+    for df in (cohorts.base_train("orders", 1, 2), cohorts.base_held("orders", 2), cohorts.train(1)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "fold_id" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    folds = cohorts.expanded["orders"].select("fold_id", "inner_fold_1").distinct().collect()
+    assert all((r.inner_fold_1 is None) == (r.fold_id in (None, 1)) for r in folds)
+
+
 def test_meta_logistic_is_stationary(spark):
     rng = np.random.default_rng(3)
     x = rng.uniform(size=(400, 3))

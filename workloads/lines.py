@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskfold.functions.scaling import written
 from riskfold.operators import curves, summaries, thresholds
 
 TARGETS = (0.90, 0.85, 0.80)
@@ -66,8 +67,7 @@ def _predictions(spark, sf):
 
 
 def _fold_summary(spark, sf):
-    s = scores(spark, sf)
-    ranking = curves.fold_ranking(s)
+    ranking = written(curves.fold_ranking(scores(spark, sf)), "fold-ranking")
     both = summaries.fold_summary(ranking, ddof=1).join(
         summaries.fold_summary(ranking, ddof=0).select(
             "model", F.col("auc_sd").alias("auc_sd_pop"), F.col("auprc_sd").alias("auprc_sd_pop")

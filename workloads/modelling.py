@@ -179,8 +179,8 @@ def _metas(spark, sf):
 
 
 def _fit_platt(spark, sf):
-    """Slope and intercept of the sigmoid map of each line score stream."""
-    s = scores(spark, sf)
+    """Slope and intercept of the sigmoid map of each line score stream, from one table of counts."""
+    s = curves.count_table(scores(spark, sf), ["model"])
     rows = []
     for m in ("disc", "qty", "price"):
         cal = calibration.fit_sigmoid(s.filter(F.col("model") == m))

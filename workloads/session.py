@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
 
 from pyspark.sql import SparkSession
 
 
 def local_session(name: str, cpus: int | None = None, **conf: str) -> SparkSession:
-    """``conf``: more settings, with ``__`` for each dot in their names."""
+    """``conf``: more settings, with ``__`` for each dot in their names.
+
+    Without a shared folder among them, intermediates go to one that the process removes.
+    """
     cpus = cpus or os.cpu_count() or 8
+    conf = {k.replace("__", "."): v for k, v in conf.items()}
+    if "spark.checkpoint.dir" not in conf:
+        conf["spark.checkpoint.dir"] = tempfile.mkdtemp(prefix="riskfold-")
+        atexit.register(shutil.rmtree, conf["spark.checkpoint.dir"], True)
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(name)
@@ -19,7 +29,7 @@ def local_session(name: str, cpus: int | None = None, **conf: str) -> SparkSessi
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
-        .config(map={k.replace("__", "."): v for k, v in conf.items()})
+        .config(map=conf)
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
