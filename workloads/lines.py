@@ -66,6 +66,29 @@ def _predictions(spark, sf):
     )
 
 
+def _prediction_columns(spark, sf):
+    """The same counts from the wide table with one 0/1 column per model and threshold."""
+    thr = thresholds.threshold_set(_curve(spark, sf))
+    streams = {m: m for m in ("disc", "qty", "price")}
+    wide = thresholds.thresholded_columns(wide_scores(spark, sf), streams, thr)
+    names = [c for c in wide.columns if c.startswith("y_pred__")]
+    cells = F.array(
+        *[
+            F.struct(
+                F.lit(c.split("__", 2)[1]).alias("model"),
+                F.lit(c.split("__", 2)[2]).alias("threshold_name"),
+                F.col(f"`{c}`").alias("y_pred"),
+            )
+            for c in names
+        ]
+    )
+    return (
+        wide.select("y_true", F.inline(cells))
+        .groupBy("model", "threshold_name", "y_true", "y_pred")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+
+
 def _fold_summary(spark, sf):
     ranking = written(curves.fold_ranking(scores(spark, sf)), "fold-ranking")
     both = summaries.fold_summary(ranking, ddof=1).join(
@@ -126,6 +149,7 @@ QUERIES = {
     "oof_threshold_metrics": lambda s, d: tidy(_metrics(s, d)),
     "fold_threshold_metrics": lambda s, d: tidy(_fold_metrics(s, d)),
     "thresholded_predictions": _predictions,
+    "thresholded_predictions_wide": _prediction_columns,
     "fold_summary": lambda s, d: tidy(_fold_summary(s, d)),
     "fold_threshold_summary": lambda s, d: tidy(
         summaries.fold_threshold_summary(_fold_metrics(s, d))
@@ -323,3 +347,4 @@ ORACLES = {
       SELECT model, bin, ROUND(AVG(p), 6) AS mean_p, ROUND(AVG(y_true), 6) AS positive_rate, COUNT(*) AS n
       FROM binned GROUP BY model, bin""",
 }
+ORACLES["thresholded_predictions_wide"] = ORACLES["thresholded_predictions"]
