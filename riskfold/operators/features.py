@@ -2,42 +2,62 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import (
+    FeatureHasher,
+    OneHotEncoder,
+    StringIndexer,
+    StringIndexerModel,
+    VectorAssembler,
+)
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskfold.functions.scalars import col
+from riskfold.operators import blocks as packed
 from riskfold.operators.cohort import LABEL
 
 NULL_LEVEL = "__null__"  # null is a level of its own
 
 
 def split_feature_types(df: DataFrame, columns: Sequence[str]) -> tuple[list[str], list[str]]:
-    """Numeric and categorical columns by schema; other types take no part."""
+    """Numeric and categorical columns by schema; other types take no part.
+
+    A packed block of numbers counts as one numeric column.
+    """
     numeric, categorical = [], []
     for c in columns:
         kind = df.schema[c].dataType
         if isinstance(kind, (T.StringType, T.VarcharType, T.CharType)):
             categorical.append(c)
-        elif isinstance(kind, (T.NumericType, T.BooleanType)):
+        elif isinstance(kind, (T.NumericType, T.BooleanType, VectorUDT)):
             numeric.append(c)
     return numeric, categorical
 
 
 def prepare_inputs(
-    df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], keep: Sequence[str] = ()
+    df: DataFrame,
+    numeric: Sequence[str],
+    categorical: Sequence[str],
+    keep: Sequence[str] = (),
+    blocks: Mapping[str, Sequence[str]] | None = None,
 ) -> DataFrame:
     """Model inputs by name: numbers as doubles, text with a level for null.
 
     A column the frame lacks becomes NaN or the null level; extra columns are dropped.
+    ``blocks`` gives the slots of packed numbers, which are matched by name as well.
     """
-    have = set(df.columns)
+    have, blocks = set(df.columns), blocks or {}
     numbers = [
-        (col(c).cast("double") if c in have else F.lit(float("nan"))).alias(c) for c in numeric
+        packed.aligned(df, c, blocks[c])
+        if c in blocks
+        else (col(c).cast("double") if c in have else F.lit(float("nan"))).alias(c)
+        for c in numeric
     ]
     texts = [
         (F.coalesce(col(c), F.lit(NULL_LEVEL)) if c in have else F.lit(NULL_LEVEL)).alias(c)
@@ -62,13 +82,19 @@ def fit_preparation(
     categorical: Sequence[str],
     allow_missing: bool = False,
     max_levels: int | None = None,
+    hashed: Mapping[str, int] | None = None,
 ) -> PipelineModel:
     """Learn indicator columns on training rows; numbers pass through.
 
     A level unseen in training falls into the dropped last slot, so all its indicators
     are zero. Missing numbers are an error unless ``allow_missing``. The levels stay with
-    the model on the driver: ``max_levels`` refuses id-like text columns.
+    the model on the driver: ``max_levels`` refuses id-like text columns. A column in
+    ``hashed`` gets that many slots instead and its levels share them by hash: nothing is
+    learned, listed or refused, however many levels there are, and a level unseen in
+    training has a slot like any other.
     """
+    hashed = {c: n for c, n in (hashed or {}).items() if c in categorical}
+    categorical = [c for c in categorical if c not in hashed]
     guard_levels(df, categorical, max_levels)
     stages, inputs = [], list(numeric)
     if categorical:
@@ -84,6 +110,9 @@ def fit_preparation(
             OneHotEncoder(inputCols=index, outputCols=onehot, dropLast=True),
         ]
         inputs += onehot
+    for c, slots in hashed.items():
+        stages.append(FeatureHasher(inputCols=[c], outputCol=f"{c}__hashed", numFeatures=slots))
+        inputs.append(f"{c}__hashed")
     stages.append(
         VectorAssembler(
             inputCols=inputs,
@@ -94,10 +123,33 @@ def fit_preparation(
     return Pipeline(stages=stages).fit(df)
 
 
-def feature_names(preparation: PipelineModel, numeric: Sequence[str]) -> list[str]:
-    """Names of the vector slots: columns, then ``<column>_<level>`` indicators."""
-    names = list(numeric)
+def guard_blocks(
+    inputs: DataFrame, preparation: PipelineModel, blocks: Mapping[str, Sequence[str]]
+) -> DataFrame:
+    """``inputs`` with an error in every row whose blocks miss a number the assembler refuses.
+
+    The assembler itself looks at plain columns only.
+    """
+    if not blocks or preparation.stages[-1].getHandleInvalid() != "error":
+        return inputs
+    for c, slots in blocks.items():
+        bad = F.exists(vector_to_array(col(c)), F.isnan)
+        checked = F.when(bad, F.raise_error(F.lit(f"{c}: missing numbers"))).otherwise(col(c))
+        inputs = inputs.withColumn(c, packed.named(checked, slots, c))
+    return inputs
+
+
+def feature_names(
+    preparation: PipelineModel,
+    numeric: Sequence[str],
+    blocks: Mapping[str, Sequence[str]] | None = None,
+) -> list[str]:
+    """Names of the vector slots: columns, then indicators ``<column>_<level>``, then hashed
+    slots ``<column>#<slot>``. A packed block stands for its slots."""
+    names = [n for c in numeric for n in (blocks or {}).get(c, [c])]
     for stage in preparation.stages:
+        if isinstance(stage, FeatureHasher):
+            names += [f"{stage.getInputCols()[0]}#{i}" for i in range(stage.getNumFeatures())]
         if isinstance(stage, StringIndexerModel):
             for c, levels in zip(stage.getInputCols(), stage.labelsArray):
                 names += [f"{c}_{level}" for level in levels]

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Callable, Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from dataclasses import asdict, dataclass, field
 from functools import reduce
 from multiprocessing.pool import ThreadPool
+from queue import SimpleQueue
 from random import Random
 
 import numpy as np
@@ -18,19 +20,19 @@ from pyspark.ml.classification import (
     RandomForestClassificationModel,
     RandomForestClassifier,
 )
-from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskfold.functions.scalars import col
+from riskfold.operators.blocks import is_block, slot_names
 from riskfold.operators.cohort import ID, LABEL
 from riskfold.operators.curves import average_precision
 from riskfold.operators.features import (
     balanced_weights,
     feature_names,
     fit_preparation,
+    guard_blocks,
     prepare_inputs,
     split_feature_types,
 )
@@ -78,9 +80,41 @@ class ForestParams:
         return json.dumps(asdict(self), sort_keys=True)
 
 
+class FitSlots:
+    """Lets at most ``n`` pieces of fitting work run at a time, however searches are nested.
+
+    Each slot is a scheduler pool of its own: where ``spark.scheduler.mode`` is FAIR the
+    running fits get equal shares of the cluster instead of queueing behind the largest.
+    """
+
+    POOL = "spark.scheduler.pool"
+
+    def __init__(self, n: int):
+        self._free = SimpleQueue()
+        for i in range(max(1, n)):
+            self._free.put(i)
+
+    @contextmanager
+    def taken(self, spark: SparkSession) -> Iterator[None]:
+        """Waits for a free slot and holds it. Never wait for another slot inside."""
+        slot = self._free.get()
+        before = spark.sparkContext.getLocalProperty(self.POOL)
+        spark.sparkContext.setLocalProperty(self.POOL, f"fit-{slot}")
+        try:
+            yield
+        finally:
+            spark.sparkContext.setLocalProperty(self.POOL, before)
+            self._free.put(slot)
+
+
 @dataclass(frozen=True)
 class SearchConfig:
-    """Sizes of the nested cross-validation, seed, and how many fits run at once."""
+    """Sizes of the nested cross-validation, seed, and how many fits run at once.
+
+    ``parallelism`` bounds the fits of all searches that use one configuration object.
+    ``hashed`` names text columns that get a fixed number of hashed slots instead of one
+    indicator a level.
+    """
 
     outer_folds: int = 10
     inner_folds: int = 5
@@ -88,6 +122,11 @@ class SearchConfig:
     seed: int = 42
     space: Mapping = field(default_factory=lambda: MULTI_SPACE)
     parallelism: int = 4
+    hashed: Mapping[str, int] = field(default_factory=dict)
+    slots: FitSlots = field(init=False, repr=False, compare=False)
+
+    def __post_init__(self):
+        object.__setattr__(self, "slots", FitSlots(self.parallelism))
 
 
 def sample_param_grid(space: Mapping, n: int, seed: int) -> list[ForestParams]:
@@ -119,43 +158,29 @@ def forest(params: ForestParams, seed: int) -> RandomForestClassifier:
     )
 
 
-def _as_param_map(params: ForestParams) -> dict:
-    rf = forest(params, 0)
-    names = (
-        "numTrees",
-        "maxDepth",
-        "minInstancesPerNode",
-        "featureSubsetStrategy",
-        "subsamplingRate",
-    )
-    return {rf.getParam(n): rf.getOrDefault(n) for n in names}
-
-
 def positive_probability(name: str = "probability") -> Column:
     return vector_to_array(name)[1]
 
 
-class AveragePrecision(Evaluator):
+def step_precision(scored: DataFrame) -> float:
     """Step-sum average precision of the class-1 probability, without binning."""
-
-    def _evaluate(self, dataset: DataFrame) -> float:
-        scores = dataset.select(
-            F.lit("m").alias("model"), positive_probability().alias("p"), F.col(LABEL)
-        )
-        scores.persist()  # the trees score the rows once for both passes of the curve
-        try:
-            rows = average_precision(scores).collect()
-        finally:
-            scores.unpersist()
-        return float(rows[0].auprc) if rows and rows[0].auprc is not None else 0.0
-
-    def isLargerBetter(self) -> bool:
-        return True
+    scores = scored.select(
+        F.lit("m").alias("model"), positive_probability().alias("p"), F.col(LABEL)
+    )
+    scores.persist()  # the trees score the rows once for both passes of the curve
+    try:
+        rows = average_precision(scores).collect()
+    finally:
+        scores.unpersist()
+    return float(rows[0].auprc) if rows and rows[0].auprc is not None else 0.0
 
 
 @dataclass
 class FittedForest:
-    """Preparation and forest with their input columns by name."""
+    """Preparation and forest with their input columns by name.
+
+    ``blocks`` holds the slot names of the packed inputs (see ``operators.blocks``).
+    """
 
     preparation: PipelineModel
     model: RandomForestClassificationModel
@@ -163,17 +188,19 @@ class FittedForest:
     categorical: list[str]
     params: ForestParams
     search: list[tuple[ForestParams, float]] = field(default_factory=list)
+    blocks: dict[str, list[str]] = field(default_factory=dict)
 
     @property
     def names(self) -> list[str]:
         """Name of every feature vector slot."""
-        return feature_names(self.preparation, self.numeric)
+        return feature_names(self.preparation, self.numeric, self.blocks)
 
     def vectors(self, df: DataFrame, keep: Sequence[str] = (ID,)) -> DataFrame:
         """``keep`` and the feature vector. Inputs are matched by name only."""
         # Kept columns travel in a struct: one may share its name with an input.
         packed = df.withColumn("_keep", F.struct(*[col(k) for k in keep]))
-        inputs = prepare_inputs(packed, self.numeric, self.categorical, ["_keep"])
+        inputs = prepare_inputs(packed, self.numeric, self.categorical, ["_keep"], self.blocks)
+        inputs = guard_blocks(inputs, self.preparation, self.blocks)
         return self.preparation.transform(inputs).select("_keep.*", "features")
 
     def predict(self, df: DataFrame, keep: Sequence[str] = (ID,), name: str = "p") -> DataFrame:
@@ -182,18 +209,38 @@ class FittedForest:
         return out.select(*[col(k) for k in keep], positive_probability().alias(name))
 
 
+@dataclass
+class TrainingRows:
+    """Fitted preparation and ``id, label, _tie, features, weight`` of a training frame."""
+
+    preparation: PipelineModel
+    rows: DataFrame
+    numeric: list[str]
+    categorical: list[str]
+    blocks: dict[str, list[str]]
+
+    def fitted(self, model, params: ForestParams, search=()) -> FittedForest:
+        return FittedForest(
+            self.preparation, model, self.numeric, self.categorical, params, list(search), self.blocks
+        )
+
+
 def training_vectors(
-    df: DataFrame, columns: Sequence[str], allow_missing: bool = False
-) -> tuple[PipelineModel, DataFrame, list[str], list[str]]:
-    """Fitted preparation and ``id, label, features, weight`` of a training frame."""
+    df: DataFrame,
+    columns: Sequence[str],
+    allow_missing: bool = False,
+    hashed: Mapping[str, int] | None = None,
+) -> TrainingRows:
     numeric, categorical = split_feature_types(df, columns)
-    inputs = prepare_inputs(df, numeric, categorical, [ID, LABEL])
-    preparation = fit_preparation(inputs, numeric, categorical, allow_missing)
+    blocks = {c: slot_names(df, c) for c in numeric if is_block(df, c)}
+    inputs = prepare_inputs(df, numeric, categorical, [ID, LABEL], blocks)
+    preparation = fit_preparation(inputs, numeric, categorical, allow_missing, hashed=hashed)
+    inputs = guard_blocks(inputs, preparation, blocks)
     tie = F.xxhash64(*[col(c) for c in [*numeric, *categorical]])
     vectors = preparation.transform(inputs.withColumn("_tie", tie)).select(
         ID, LABEL, "_tie", "features"
     )
-    return preparation, balanced_weights(vectors), numeric, categorical
+    return TrainingRows(preparation, balanced_weights(vectors), numeric, categorical, blocks)
 
 
 def balanced_partitions(rows: DataFrame) -> DataFrame:
@@ -211,15 +258,16 @@ def fit_forest(
     params: ForestParams,
     seed: int,
     allow_missing: bool = False,
+    hashed: Mapping[str, int] | None = None,
 ) -> FittedForest:
     """One forest with given parameters. Equal inputs and seed give an equal forest."""
-    preparation, rows, numeric, categorical = training_vectors(df, columns, allow_missing)
-    rows = balanced_partitions(rows).persist()
+    train = training_vectors(df, columns, allow_missing, hashed)
+    rows = balanced_partitions(train.rows).persist()
     try:
         model = forest(params, seed).fit(rows)
     finally:
         rows.unpersist()
-    return FittedForest(preparation, model, numeric, categorical, params)
+    return train.fitted(model, params)
 
 
 def fit_tuned(
@@ -232,31 +280,39 @@ def fit_tuned(
     """Random search by average precision over stratified inner folds, best refitted on all.
 
     Indicator columns are learned once on the training rows: a level that an inner
-    training part lacks is a constant column there, which no tree can split on.
+    training part lacks is a constant column there, which no tree can split on. The
+    vectors are kept once; every (draw, fold) pair is a filter of them and waits for a
+    slot of the configuration, as the preparation and the refit do. Of equally good
+    draws the first wins.
     """
-    preparation, rows, numeric, categorical = training_vectors(df, columns, allow_missing)
-    seed = cfg.seed + seed_offset
-    rows = stratified_folds(
-        rows, cfg.inner_folds, seed + INNER_CV_SEED, name="inner", tie=["_tie"]
-    )
-    rows = balanced_partitions(rows.withColumn("inner", F.col("inner") - 1)).persist()
+    spark, seed = df.sparkSession, cfg.seed + seed_offset
     draws = sample_param_grid(cfg.space, cfg.draws, seed + SEARCH_SEED)
-    search = CrossValidator(
-        estimator=forest(draws[0], seed),
-        estimatorParamMaps=[_as_param_map(p) for p in draws],
-        evaluator=AveragePrecision(),
-        numFolds=cfg.inner_folds,
-        foldCol="inner",
-        parallelism=cfg.parallelism,
-    )
+    with cfg.slots.taken(spark):
+        train = training_vectors(df, columns, allow_missing, cfg.hashed)
+        rows = stratified_folds(
+            train.rows, cfg.inner_folds, seed + INNER_CV_SEED, name="inner", tie=["_tie"]
+        )
+        rows = balanced_partitions(rows).persist()
+        filled = rows.groupBy("inner").count().count()
+    folds = range(1, cfg.inner_folds + 1)
+
+    def score(draw: ForestParams, fold: int) -> float:
+        with cfg.slots.taken(spark):
+            model = forest(draw, seed).fit(rows.filter(F.col("inner") != fold))
+            return step_precision(model.transform(rows.filter(F.col("inner") == fold)))
+
     try:
-        fitted = search.fit(rows)
+        if filled < cfg.inner_folds:
+            raise ValueError(f"{filled} of {cfg.inner_folds} inner folds have rows")
+        tasks = [(lambda d=d, k=k: score(d, k)) for d in draws for k in folds]
+        found = in_parallel(spark, tasks, cfg.parallelism)
+        means = np.reshape(found, (len(draws), cfg.inner_folds)).mean(axis=1)
+        best = draws[int(np.argmax(means))]
+        with cfg.slots.taken(spark):
+            model = forest(best, seed).fit(rows)
     finally:
         rows.unpersist()
-    scored = list(zip(draws, fitted.avgMetrics))
-    # The same rule as the search: the first of the best draws.
-    best = draws[int(np.argmax(fitted.avgMetrics))]
-    return FittedForest(preparation, fitted.bestModel, numeric, categorical, best, scored)
+    return train.fitted(model, best, [(d, float(m)) for d, m in zip(draws, means)])
 
 
 # ---------------------------------------------------------------- meta-model

@@ -19,6 +19,7 @@ from riskfold.operators.folds import stratified_folds
 from riskfold.operators.models import (
     FittedForest,
     MetaModel,
+    SearchConfig,
     balanced_partitions,
     fit_meta,
     forest,
@@ -64,9 +65,13 @@ def calibrated_forest(
     method: str,
     k: int,
     seed: int,
-    threads: int = 1,
+    cfg: SearchConfig,
 ) -> CalibratedForest:
-    """Same hyper-parameters on k-1 stratified parts, the map on the remaining part."""
+    """Same hyper-parameters on k-1 stratified parts, the map on the remaining part.
+
+    Each part waits for a slot of ``cfg``, like the fits of a search.
+    """
+    spark = train.sparkSession
     inputs = [*fitted.numeric, *fitted.categorical]
     tied = train.withColumn("_tie", F.xxhash64(*[col(c) for c in inputs]))
     vectors = fitted.vectors(tied, [ID, LABEL, "_tie"])
@@ -74,14 +79,15 @@ def calibrated_forest(
     rows = written(balanced_partitions(rows), "calibration")
 
     def task(i: int):
-        seen = balanced_weights(rows.filter(F.col("part") != i))
-        model = forest(fitted.params, seed).fit(seen)
-        scored = model.transform(rows.filter(F.col("part") == i))
-        scored = scored.select(positive_probability().alias("p"), LABEL)
-        return model, _fit_map(scored, method, margin=False)
+        with cfg.slots.taken(spark):
+            seen = balanced_weights(rows.filter(F.col("part") != i))
+            model = forest(fitted.params, seed).fit(seen)
+            scored = model.transform(rows.filter(F.col("part") == i))
+            scored = scored.select(positive_probability().alias("p"), LABEL)
+            return model, _fit_map(scored, method, margin=False)
 
     jobs = [(lambda i=i: task(i)) for i in range(1, k + 1)]
-    return CalibratedForest(fitted, in_parallel(train.sparkSession, jobs, threads))
+    return CalibratedForest(fitted, in_parallel(spark, jobs, cfg.parallelism))
 
 
 @dataclass

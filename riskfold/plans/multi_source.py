@@ -167,7 +167,7 @@ def early_fold(
     out = [_labelled(model.predict(test, OUT), "multi_early")]
     if method:
         seed = cfg.seed + CALIBRATION_SEED["early"] + fold
-        cal = calibrated_forest(model, train, method, calibration_folds, seed, cfg.parallelism)
+        cal = calibrated_forest(model, train, method, calibration_folds, seed, cfg)
         out.append(_labelled(cal.predict(test, OUT), "multi_early_cal"))
     return out
 

@@ -72,7 +72,7 @@ def evaluate(
         out = [model.predict(test, OUT).withColumn("model", F.lit(RAW))]
         if method:
             seed = cfg.seed + CALIBRATION_SEED["single"] + fold
-            cal = calibrated_forest(model, train, method, calibration_folds, seed)
+            cal = calibrated_forest(model, train, method, calibration_folds, seed, cfg)
             out.append(cal.predict(test, OUT).withColumn("model", F.lit(CALIBRATED)))
         return written(union_all(out), f"oof-{fold}"), (fold, model.params.to_json())
 
@@ -93,7 +93,7 @@ def fit_deployable(
     if not method:
         return model, None
     seed = cfg.seed + CALIBRATION_SEED["deploy"]
-    return model, calibrated_forest(model, run.cohort, method, calibration_folds, seed, cfg.parallelism)
+    return model, calibrated_forest(model, run.cohort, method, calibration_folds, seed, cfg)
 
 
 def oof_calibrators(run: SingleRun, method: str = "sigmoid") -> dict[str, Calibrator]:

@@ -4,7 +4,8 @@ import json
 
 import pytest
 
-from riskfold.plans import evaluation, scoring
+from riskfold.operators import models
+from riskfold.plans import evaluation, reporting, scoring
 from riskfold.sources import tables
 
 MODELS = evaluation.REQUIRED
@@ -65,3 +66,28 @@ def test_report_is_nested_json(spark, wide, tmp_path):
     assert len(rows) == 6
     assert set(rows[0]["thresholds"]) == {"fixed", "f1_opt", "youden_j_opt", "recall_0.90"}
     assert rows[0]["n"] == 60 and rows[0]["n_pos"] == 30
+
+
+def test_run_report_of_streams_with_odd_rows(spark, tmp_path):
+    """A stream without positives, rows outside every fold, scores nothing reaches."""
+    rows = [("a", i % 3 + 1, i % 2, (i % 10) / 10 + 0.05 * (i % 2)) for i in range(60)]
+    rows += [("a", -1, 1, 0.99), ("flat", 1, 0, 0.2), ("flat", 2, 0, 0.2), ("turned", 1, 1, 0.1), ("turned", 1, 0, 0.9)]
+    oof = spark.createDataFrame(rows, "model string, fold_id int, y_true int, p double")
+    best = spark.createDataFrame([("a", 2, "{}"), ("a", 1, "[]")], reporting.BEST_SCHEMA)
+    cfg = models.SearchConfig(3, 2, 4, 9)
+    report = reporting.run_report(oof, cfg, ["lab"], best, None, saved_models={"multi_early": "forest"})
+    path = tables.write_report(report, str(tmp_path / "run"))
+    (line,) = [json.loads(r.value) for r in spark.read.text(path).collect()]
+    info, a = line["run_info"], line["models"]["a"]
+    assert (info["outer_folds"], info["draws"], info["n_subjects"], info["sources"]) == (3, 4, 61, ["lab"])
+    assert info["calibration"] == {"enabled": False, "method": None, "folds": None}
+    assert line["saved_models"] == {"multi_early": "forest"}
+    assert a["n"] == 61 and [f["n"] for f in a["folds"]] == [20, 20, 20]
+    assert [p["fold_id"] for p in a["params"]] == [1, 2] and line["models"]["flat"]["params"] == []
+    aucs = [f["auc"] for f in a["folds"]]
+    assert a["fold_ranking"]["auc"]["mean"] == pytest.approx(sum(aucs) / 3)
+    assert a["fold_metrics"]["fixed"]["recall"]["sd"] >= a["fold_metrics"]["fixed"]["recall"]["sd_pop"]
+    assert line["models"]["turned"]["thresholds"]["youden_j_opt"]["threshold"] is None
+    assert line["models"]["flat"]["n_pos"] == 0
+    empty = reporting.run_report(oof.limit(0), cfg, [], targets=None).collect()
+    assert len(empty) == 1 and empty[0].models == {} and empty[0].run_info.n_subjects == 0

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from riskfold.functions import scalars
 from riskfold.functions.scaling import shared_dir, written
-from riskfold.operators import attribution, calibration, cohort, curves, features, folds, isotonic, models
-from riskfold.operators import summaries, thresholds
+from riskfold.operators import attribution, blocks, calibration, cohort, curves, features, folds
+from riskfold.operators import isotonic, models, summaries, thresholds
 from riskfold.plans import scoring
 from riskfold.sources import tables
 from workloads.lines import PICKED, SCORES_SQL, _finite, scores, table, tidy, wide_scores
@@ -367,6 +367,55 @@ def _early_fusion(spark, sf):
     return tidy(out.select("subject_id", "y_true", total.alias("total")), 4)
 
 
+def _packed(spark, sf):
+    """Id and the vector of every embedding as one block."""
+    vec = table(spark, sf, "embeddings").withColumn("subject_id", F.col("vec_id").cast("string"))
+    return blocks.pack_array(vec, "embedding", [f"v:{i}" for i in range(64)], "vector", ["subject_id"])
+
+
+def _packed_columns(spark, sf):
+    """The 64 columns of the vector source as a block, last slot first, one row per slot."""
+    raw = frames(spark, sf)["vector"]
+    names = [c for c in raw.columns if c != "subject_id"]
+    block = blocks.pack(raw, names, "vector", ["subject_id"])
+    turned = blocks.slice_block(block, "vector", names[::-1], "turned")
+    out = blocks.unpack(turned, "turned", ["subject_id"])
+    return out.withColumn("slot_number", F.lit(63) - F.substring("slot", 3, 9).cast("int"))
+
+
+def _packed_fusion(spark, sf):
+    """Every slot of the joined features, the vector source joined as a block."""
+    df = cohort.join_intersection(
+        {"text": frames(spark, sf)["text"], "vector": _packed(spark, sf)}, labels(spark, sf)
+    )
+    numeric, _ = features.split_feature_types(df, [*TEXT_COLUMNS, "vector"])
+    slots = {"vector": blocks.slot_names(df, "vector")}
+    inputs = features.prepare_inputs(df, numeric, [], ["subject_id", "y_true"], slots)
+    prep = features.fit_preparation(inputs, numeric, [])
+    named = F.array(*[F.lit(n) for n in features.feature_names(prep, numeric, slots)])
+    cells = F.arrays_zip(named.alias("slot"), vector_to_array("features").alias("value"))
+    return prep.transform(inputs).select("subject_id", "y_true", F.inline(cells).alias("slot", "value"))
+
+
+def _hashed_levels(spark, sf):
+    """Customers as hashed levels of their orders: rows, slots and ones of each level."""
+    orders = table(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("level"))
+    inputs = features.prepare_inputs(orders, [], ["level"])
+    prep = features.fit_preparation(inputs, [], ["level"], hashed={"level": 1024})
+    ones = F.transform(vector_to_array("features"), lambda v, i: F.when(v == 1, i))
+    used = F.array_compact(ones).alias("used")
+    return (
+        prep.transform(inputs)
+        .select("level", used)
+        .groupBy("level")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.count_distinct("used").alias("n_slots"),
+            F.sum(F.size("used")).alias("n_ones"),
+        )
+    )
+
+
 def _align(spark, sf):
     wanted = ["n_spaces", "n_missing", "n_chars"]
     out = features.prepare_inputs(frames(spark, sf)["text"], wanted, ["lang"], ["subject_id"])
@@ -553,6 +602,9 @@ QUERIES = {
     "one_hot": _one_hot,
     "assemble_features": _assemble,
     "early_fusion": _early_fusion,
+    "early_fusion_packed": _packed_fusion,
+    "pack_wide_source": _packed_columns,
+    "hashed_levels": _hashed_levels,
     "align_to_model": _align,
     "balanced_weights": _weights,
     "stratified_folds": folded,
@@ -766,6 +818,16 @@ ORACLES = {
     "early_fusion": f"""WITH {TEXT_SQL}, {LABELS_SQL} SELECT subject_id, y_true, ROUND(
       n_chars + n_len + n_digits + n_lines + n_spaces + 2 + LIST_SUM(CAST(embedding AS DOUBLE[])), 4) AS total
       FROM labelled JOIN texts USING (subject_id) JOIN embeddings e ON CAST(e.vec_id AS VARCHAR) = subject_id""",
+    "early_fusion_packed": f"""WITH {TEXT_SQL}, {LABELS_SQL}, met AS (
+        SELECT subject_id, y_true, texts.* EXCLUDE (subject_id), embedding FROM labelled JOIN texts USING (subject_id)
+        JOIN embeddings e ON CAST(e.vec_id AS VARCHAR) = subject_id)
+      SELECT subject_id, y_true, 'v:' || i AS slot, CAST(embedding[i + 1] AS DOUBLE) AS value FROM met, range(0, 64) r(i)
+      UNION ALL """
+    + _union([f"SELECT subject_id, y_true, '{c}', CAST({c} AS DOUBLE) FROM met" for c in TEXT_COLUMNS]),
+    "pack_wide_source": """SELECT CAST(vec_id AS VARCHAR) AS subject_id, 'v:' || i AS slot,
+      CAST(embedding[i + 1] AS DOUBLE) AS value, CAST(63 - i AS INTEGER) AS slot_number FROM embeddings, range(0, 64) r(i)""",
+    "hashed_levels": """SELECT CAST(o_custkey AS VARCHAR) AS level, COUNT(*) AS n, CAST(1 AS BIGINT) AS n_slots,
+      COUNT(*) AS n_ones FROM orders GROUP BY 1""",
     "align_to_model": f"""WITH {TEXT_SQL} SELECT subject_id, CAST(n_spaces AS DOUBLE) AS n_spaces, TRUE AS missing,
       CAST(n_chars AS DOUBLE) AS n_chars, '__null__' AS lang FROM texts""",
     "balanced_weights": f"""WITH {LABELS_SQL} SELECT subject_id, y_true, ROUND(COUNT(*) OVER () /

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from riskfold.functions.scaling import written
 from riskfold.operators import curves, summaries, thresholds
+from riskfold.plans import reporting
 
 TARGETS = (0.90, 0.85, 0.80)
 
@@ -100,6 +101,27 @@ def _fold_summary(spark, sf):
     return both
 
 
+def _model_reports(spark, sf):
+    """One row per model and threshold of the nested report: totals, folds, means, deviations."""
+    report = reporting.model_reports(scores(spark, sf), targets=TARGETS)
+    out = report.select("*", F.explode("thresholds").alias("threshold_name", "at"))
+    over = F.col("fold_metrics")[F.col("threshold_name")]
+    ranking = [
+        F.col(f"fold_ranking.{m}.{part}").alias(f"{m}_{part}")
+        for m in reporting.RANKING for part in ("mean", "sd", "sd_pop")
+    ]
+    spread = [
+        over[m][part].alias(f"{m}_{part}")
+        for m in thresholds.SUMMARY_METRICS for part in ("mean", "sd")
+    ]
+    return out.select(
+        "model", "n", "n_pos", "n_neg", "prevalence", "oof_auc", "oof_auprc", "threshold_name",
+        "at.threshold", "at.tp", "at.fp", "at.tn", "at.fn", F.size("folds").alias("n_folds"),
+        F.aggregate("folds", F.lit(0).cast("bigint"), lambda a, f: a + f["n"]).alias("n_in_folds"),
+        F.element_at("folds", 1)["auc"].alias("first_auc"), *ranking, *spread,
+    )
+
+
 def _ranked(spark, sf):
     """AUC and average precision best first, Brier score lowest first."""
     s = scores(spark, sf)
@@ -151,6 +173,7 @@ QUERIES = {
     "thresholded_predictions": _predictions,
     "thresholded_predictions_wide": _prediction_columns,
     "fold_summary": lambda s, d: tidy(_fold_summary(s, d)),
+    "model_reports": lambda s, d: tidy(_model_reports(s, d)),
     "fold_threshold_summary": lambda s, d: tidy(
         summaries.fold_threshold_summary(_fold_metrics(s, d))
     ),
@@ -250,21 +273,44 @@ FOLDS = f"""WITH {SCORES_SQL}, {curve_sql('model, fold_id')}, by_fold AS (
 ROC_UNION = "UNION ALL SELECT model, NULL, 0.0, 0.0{} FROM curve GROUP BY model"
 
 
+_FOLD_NAMES = {
+    "precision": "precision_",
+    "recall": "recall_",
+    "f1": "f1_",
+    "specificity": "spec_",
+    "youden_j": "recall_ - fpr_",
+    "npv": "npv_",
+    "pred_pos_rate": "(tp + fp) / (tp + fp + tn + fn)::DOUBLE",
+}
+_FOLD_SPREAD = ", ".join(
+    f"ROUND(AVG({e}), 6) AS {n}_mean, ROUND(STDDEV_SAMP({e}), 6) AS {n}_sd"
+    for n, e in _FOLD_NAMES.items()
+)
+
+
 def _fold_threshold_summary_sql() -> str:
-    names = {
-        "precision": "precision_",
-        "recall": "recall_",
-        "f1": "f1_",
-        "specificity": "spec_",
-        "youden_j": "recall_ - fpr_",
-        "npv": "npv_",
-        "pred_pos_rate": "(tp + fp) / (tp + fp + tn + fn)::DOUBLE",
-    }
-    cols = ", ".join(
-        f"ROUND(AVG({e}), 6) AS {n}_mean, ROUND(STDDEV_SAMP({e}), 6) AS {n}_sd"
-        for n, e in names.items()
+    return f"{BY_FOLD} SELECT model, threshold_name, {_FOLD_SPREAD} FROM rates GROUP BY model, threshold_name"
+
+
+def _model_reports_sql() -> str:
+    ranking = ", ".join(
+        f"ROUND({f}({m}), 6) AS {m}_{part}"
+        for m in ("auc", "auprc")
+        for f, part in (("AVG", "mean"), ("STDDEV_SAMP", "sd"), ("STDDEV_POP", "sd_pop"))
     )
-    return f"{BY_FOLD} SELECT model, threshold_name, {cols} FROM rates GROUP BY model, threshold_name"
+    return f"""{BY_FOLD}, {curve_sql('model, fold_id', name='fold_curve')}, by_fold AS (
+        SELECT model, fold_id, ({AUC})::DOUBLE AS auc, ({AP})::DOUBLE AS auprc, CAST(SUM(n) AS BIGINT) AS n
+        FROM fold_curve GROUP BY model, fold_id),
+      ranked AS (SELECT model, CAST(COUNT(*) AS INTEGER) AS n_folds, CAST(SUM(n) AS BIGINT) AS n_in_folds,
+        ROUND(ARG_MIN(auc, fold_id), 6) AS first_auc, {ranking} FROM by_fold GROUP BY model),
+      spread AS (SELECT model, threshold_name, {_FOLD_SPREAD} FROM rates GROUP BY model, threshold_name),
+      totals AS (SELECT model, threshold_name, threshold, CAST(SUM(tp) AS BIGINT) AS tp, CAST(SUM(fp) AS BIGINT) AS fp,
+        CAST(SUM(tn) AS BIGINT) AS tn, CAST(SUM(fn) AS BIGINT) AS fn FROM confusion GROUP BY ALL),
+      whole AS (SELECT model, ROUND(({AUC})::DOUBLE, 6) AS oof_auc, ROUND(({AP})::DOUBLE, 6) AS oof_auprc
+        FROM curve GROUP BY model)
+      SELECT * EXCLUDE (threshold), {_finite('threshold', 'threshold')}, tp + fp + tn + fn AS n, tp + fn AS n_pos,
+        fp + tn AS n_neg, ROUND((tp + fn) / (tp + fp + tn + fn)::DOUBLE, 6) AS prevalence
+      FROM totals JOIN whole USING (model) JOIN ranked USING (model) JOIN spread USING (model, threshold_name)"""
 
 
 ORACLES = {
@@ -320,6 +366,7 @@ ORACLES = {
       ROUND(STDDEV_SAMP(auc), 6) AS auc_sd, ROUND(AVG(auprc), 6) AS auprc_mean,
       ROUND(STDDEV_SAMP(auprc), 6) AS auprc_sd, ROUND(STDDEV_POP(auc), 6) AS auc_sd_pop,
       ROUND(STDDEV_POP(auprc), 6) AS auprc_sd_pop FROM by_fold GROUP BY model""",
+    "model_reports": _model_reports_sql(),
     "fold_threshold_summary": _fold_threshold_summary_sql(),
     "cohort_summary": f"""WITH {SCORES_SQL} SELECT COUNT(*) AS n, CAST(SUM(y_true) AS BIGINT) AS n_pos,
       CAST(SUM(1 - y_true) AS BIGINT) AS n_neg, ROUND(AVG(y_true), 6) AS prevalence FROM lines""",

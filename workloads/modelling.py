@@ -17,8 +17,8 @@ from riskfold.functions import scalars
 from riskfold.functions.scaling import shared_dir, written
 from riskfold.operators import attribution, calibration, cohort, curves, models
 from riskfold.operators import summaries, thresholds
-from riskfold.plans import evaluation, multi_source, scoring, single_source
-from riskfold.sources import artifacts
+from riskfold.plans import evaluation, multi_source, reporting, scoring, single_source
+from riskfold.sources import artifacts, tables
 from workloads.cohorts import LABELS_SQL, frames, labels, phenotype
 from workloads.lines import SCORES_SQL, scores, tidy, wide_scores
 
@@ -148,11 +148,11 @@ def _train_forest(spark, sf):
     return tidy(importance.withColumn("trees", F.lit(m.model.getNumTrees)))
 
 
-def _search(spark, sf):
+def _search(spark, sf, space=SPACE, draws=3):
     """Every draw with its inner average precision."""
     df = cohort.join_label(frames(spark, sf)["text"], labels(spark, sf))
     columns = [c for c in df.columns if c not in (cohort.ID, cohort.LABEL)]
-    cfg = models.SearchConfig(2, 2, 3, 42, SPACE, 4)
+    cfg = models.SearchConfig(2, 2, draws, 42, space, 4)
     m = models.fit_tuned(df, columns, cfg)
     rows = [(p.to_json(), float(s), p == m.params) for p, s in m.search]
     return tidy(spark.createDataFrame(rows, "params string, auprc double, chosen boolean"))
@@ -325,6 +325,28 @@ def _linear_meta(spark, sf):
     return tidy(mean.withColumn("feature", scalars.meta_feature_name(F.col("feature"))))
 
 
+def _report(spark, sf):
+    """The report of the whole run, written and read back: size, folds and parameters by model."""
+    run, path = run_of(spark, sf), f"{shared_dir(spark)}/report-{uuid.uuid4().hex}"
+    saved = {r.name: r.kind for r in artifacts.read_manifest(spark, saved_of(spark, sf)).collect()}
+    report = reporting.run_report(
+        run.oof, CFG, cohorts_of(spark, sf).names, reporting.chosen_parameters(run),
+        "sigmoid", CALIBRATION_FOLDS, saved,
+    )
+    tables.write_report(report, path)
+    back = spark.read.schema(report.schema).json(path)
+    return back.select(
+        F.col("run_info.n_subjects").alias("n_subjects"),
+        F.col("run_info.outer_folds").alias("outer_folds"),
+        F.size("saved_models").alias("n_saved"),
+        F.explode("models").alias("model", "m"),
+    ).select(
+        "n_subjects", "outer_folds", "n_saved", "model", "m.n", "m.n_pos",
+        F.transform("m.folds", lambda f: f["n"]).alias("fold_sizes"),
+        F.size("m.params").alias("n_params"), F.size("m.thresholds").alias("n_thresholds"),
+    ).withColumn("fold_sizes", F.array_join("fold_sizes", ","))
+
+
 def _params(spark, sf):
     """Parameters most outer folds of the single-source run chose."""
     return summaries.modal_best_params(single_of(spark, sf).best)
@@ -334,9 +356,12 @@ QUERIES = {
     "train_forest": _train_forest,
     "predict_probability": lambda s, d: tidy(forest_of(s, d).predict(frames(s, d)["text"])),
     "search_best_model": _search,
+    "search_multi_space": lambda s, d: _search(s, d, models.MULTI_SPACE, 2),
+    "search_single_space": lambda s, d: _search(s, d, models.SINGLE_SPACE, 2),
     "single_source_baseline": lambda s, d: oof_of(s, d, "single", "single_"),
     "single_source_nested_cv": lambda s, d: tidy(single_of(s, d).oof),
     "single_source_params": _params,
+    "run_report": _report,
     "early_fusion_cv": lambda s, d: oof_of(s, d, "early", "multi_early"),
     "late_fusion_inner_oof": _meta_rows,
     "late_fusion_base_test": lambda s, d: oof_of(s, d, "late", "base_"),
@@ -446,6 +471,12 @@ def _meta_sql() -> str:
 
 
 ORACLES = {
+    "run_report": f"""WITH one AS ({_run_sql("met", [*(f"single_{n}" for n in _SOURCES), *_BASES, *_EARLY, *_LATE])}),
+      sizes AS (SELECT model, fold_id, COUNT(*) AS n, SUM(y_true) AS pos FROM one GROUP BY model, fold_id)
+      SELECT CAST(SUM(n) AS BIGINT) AS n_subjects, {CFG.outer_folds} AS outer_folds, 10 AS n_saved, model,
+        CAST(SUM(n) AS BIGINT) AS n, CAST(SUM(pos) AS BIGINT) AS n_pos, STRING_AGG(n, ',' ORDER BY fold_id) AS fold_sizes,
+        CASE WHEN model LIKE 'single%' OR model = 'multi_early' THEN {CFG.outer_folds} ELSE 0 END AS n_params,
+        6 AS n_thresholds FROM sizes GROUP BY model""",
     "tree_attribution_additivity": f"""WITH {LABELS_SQL}
       SELECT COUNT(*) AS n, CAST(0 AS BIGINT) AS n_off FROM labelled""",
     "run_attribution_features": f"""SELECT model, feature, {CFG.outer_folds}::BIGINT AS n_folds, 1 AS bounded, 1 AS averaged

@@ -29,6 +29,7 @@ def local_session(name: str, cpus: int | None = None, **conf: str) -> SparkSessi
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.scheduler.mode", "FAIR")
         .config(map=conf)
         .getOrCreate()
     )
