@@ -7,7 +7,7 @@ import re
 import time
 import zlib
 from collections import Counter
-from math import log10
+from math import log, log10
 
 import numpy as np
 import public_tokenizers
@@ -562,6 +562,30 @@ def test_stages_take_odd_and_empty_tables(spark, odd, none):
 # -------------------------------------------------------------- 7 search
 
 
+def plain_search(rows, queries, k=10):
+    """BM25 of every row, from the words themselves."""
+    white = re.compile("[ \t\n\v\f\r]+")
+
+    def words(text):
+        lowered = "".join(c.lower() if c.isascii() else c for c in text or "")
+        return Counter(w for w in white.split(lowered) if w)
+
+    counts = [(i, words(t)) for i, t in rows]
+    df = Counter(w for _, c in counts for w in c)
+    mean = sum(c.total() for _, c in counts) / max(len(rows), 1)
+    out = {}
+    for q, text in queries:
+        scored = []
+        for i, c in counts:
+            norm = 1.2 * (0.25 + 0.75 * c.total() / mean)
+            met = [(w, n) for w, n in words(text).items() if w in c]
+            s = sum(n * log((len(rows) + 1) / (df[w] + 0.5)) * c[w] * 2.2 / (c[w] + norm) for w, n in met)
+            if met:
+                scored.append((-s, i))
+        out[q] = [(i, -s) for s, i in sorted(scored)[:k]]
+    return out
+
+
 def check_hits(found, expected, k=10):
     by_query = {}
     for r in sorted(found, key=lambda r: (r.query_id, r.rank)):
@@ -578,7 +602,7 @@ def check_hits(found, expected, k=10):
 def test_search_equals_scoring_all_rows(spark, sf, monkeypatch):
     docs = sf_rows(spark, sf, "documents", "doc_id", "text")
     asked = [d for d in docs if d[0] % 50 == 0]
-    expected = search.plain_search(docs, asked)
+    expected = plain_search(docs, asked)
     check_hits(entry.queries()["op7_exact_top_k"](spark, sf).collect(), expected)
 
 
@@ -587,7 +611,7 @@ def test_search_in_small_shards_and_blocks(spark, sf):
     asked = spark.createDataFrame([(1, docs[0][1][:60]), (2, docs[1][1]), (3, "nowhere-to-be-found")], "doc_id long, text string")
     index = search.build(spark.createDataFrame(docs, "doc_id long, text string").repartition(7)).cache()
     found = search.search(index, asked, k=3, query_terms=20).collect()
-    check_hits(found, search.plain_search(docs, [tuple(r) for r in asked.collect()], 3), 3)
+    check_hits(found, plain_search(docs, [tuple(r) for r in asked.collect()], 3), 3)
 
 
 def test_search_of_odd_rows(odd, none):
@@ -597,3 +621,41 @@ def test_search_of_odd_rows(odd, none):
     assert len(found) == 4 and len(rows) == 12
     assert search.search(search.build(none), odd).count() == 0
     assert search.search(search.build(odd), none).count() == 0
+    repeated = odd.filter("doc_id = 1 or doc_id is null").withColumn("doc_id", F.lit(1))
+    found = search.search(search.build(odd), repeated, k=2).collect()
+    assert len({r.query_hash for r in found}) == 2 and len(found) == 4
+    unnamed = search.search(search.build(odd), odd.filter("doc_id is null"), k=2).collect()
+    assert [r.doc_id for r in sorted(unnamed, key=lambda r: r.rank)] == [None, 10]
+    assert {r.query_id for r in unnamed} == {None}
+
+
+@pytest.mark.parametrize("rows, words", [(900, 40), (3000, 400)])
+def test_shards_equal_scoring_all_their_rows(monkeypatch, rows, words):
+    monkeypatch.setattr(search, "FIRST", 16)
+    rng = random.Random(rows)
+    names = [f"w{i}" for i in range(words)]
+    odds = [1 / (i + 1) for i in range(words)]
+    texts = [" ".join(rng.choices(names, odds, k=rng.randrange(0, 60))) for _ in range(rows)]
+    texts[5] = texts[77] = texts[rows - 1]
+    hashes = search.Hashes()
+    counts = [search.term_counts(t) for t in texts]
+    raw = search._shard(list(range(rows)), [hashes.of(c) for c in counts])
+    mean = sum(c.total() for c in counts) / rows
+    shard = search.Shard(*raw[:4], np.array(raw[4]), raw[5], mean)
+    assert shard.dense
+    df = Counter(t for c in counts for t in c)
+    for k in (1, 3, 10):
+        for q in range(0, rows, rows // 20):
+            asked = sorted((hashes[t], n * log((rows + 1) / (df[t] + 0.5))) for t, n in counts[q].items())
+            terms, weights = np.array([t for t, _ in asked], np.int64), np.array([w for _, w in asked])
+            expected = plain_search(list(enumerate(texts)), [(q, texts[q])], k)[q] if k == 3 and q < rows // 4 else None
+            found, scores = shard.search(terms, weights, k)
+            place = np.searchsorted(shard.terms, terms)
+            shard.asked[place] = weights
+            whole = shard._scores(np.arange(rows))
+            shard.asked[place] = 0
+            best = np.lexsort((shard.ids, -whole))[:k]
+            best = best[whole[best] > 0]
+            assert found.tolist() == best.tolist() and scores.tolist() == whole[best].tolist()
+            if expected is not None:
+                assert [round(s, 6) for s in scores] == [round(s, 6) for _, s in expected]
