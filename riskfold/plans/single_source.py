@@ -49,6 +49,7 @@ class SingleRun:
 def build_cohort(features: DataFrame, labels: DataFrame, cfg: SearchConfig) -> DataFrame:
     """One row per labelled subject with its outer fold."""
     rows = join_label(dedup_keep_first(features, [ID]), dedup_keep_first(labels, [ID]))
+    rows = written(rows, "cohort-rows")  # read for the folds and again with them
     folds = stratified_folds(rows.select(ID, LABEL), cfg.outer_folds, cfg.seed)
     return guard_labels(written(rows.join(folds.select(ID, "fold_id"), ID), "cohort"), "cohort")
 

@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from riskfold.functions.scaling import shared_dir
@@ -322,3 +322,50 @@ def test_score_cohort_keeps_unlabelled_only(spark):
     got = scoring.scoring_cohort(pheno, {"f": f}, unlabelled_only=True, dedup=True)
     assert sorted(r.subject_id for r in got.collect()) == ["1", "3"]
     assert folds.source_seed("lab") == 11
+
+
+def test_small_forests_of_a_search_are_scored_together(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.uniform(size=60)
+    rows = [(str(i), float(v), int(v > 0.4)) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "subject_id string, x double, y_true int")
+    passes, real = [], models.cumulative_curve
+    monkeypatch.setattr(models, "cumulative_curve", lambda *a, **k: passes.append(1) or real(*a, **k))
+    space = {"trees": [3], "depth": [2, 3], "min_split": [2], "min_leaf": [1], "features": ("0.7",)}
+    fitted = models.fit_tuned(df, ["x"], models.SearchConfig(2, 2, 3, 7, space, 2))
+    assert len(fitted.search) == 3 and len(passes) == 1
+    large = models.ForestParams(250, 10)
+    assert [len(b) for b in models.forest_batches([(large, 1), (large, 2)])] == [1, 1]
+
+
+def test_precisions_scored_together_equal_those_alone(spark):
+    parts = []
+    for seed in (1, 2):
+        rng = np.random.default_rng(seed)
+        rows = [([1 - float(p), float(p)], int(y)) for p, y in zip(rng.integers(0, 20, 50) / 20, rng.integers(0, 2, 50))]
+        df = spark.createDataFrame(rows, "a array<double>, y_true int")
+        parts.append(df.select(array_to_vector("a").alias("probability"), "y_true"))
+    none = parts[0].filter("y_true = 0")
+    expected = []
+    for df in parts:
+        alone = df.select(F.lit("m").alias("model"), models.positive_probability().alias("p"), "y_true")
+        expected.append(curves.average_precision(alone).first().auprc)
+    for few in (True, False):
+        found = models.step_precisions([*parts, none], few)
+        assert found == pytest.approx([*expected, 0.0])
+
+
+def test_sources_are_read_once_for_all_cohorts(spark):
+    """A source is computed once, however many cohorts and folds are built from it."""
+    count = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def seen(v):
+        count.add(1)
+        return v
+
+    df = spark.createDataFrame([(str(i), float(i)) for i in range(40)], "subject_id string, x double")
+    labels = spark.createDataFrame([(str(i), i % 2) for i in range(40)], "subject_id string, y_true int")
+    features = {"a": df.select("subject_id", seen("x").alias("x"))}
+    multi_source.build_cohorts(features, labels, models.SearchConfig(2, 2, 1, 7))
+    assert count.value == 40
