@@ -19,6 +19,7 @@ import base64
 import heapq
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -156,23 +157,33 @@ class _Numbers(dict):
 
     def __init__(self, pattern: regex.Pattern):
         self.pattern = pattern
-        self.pieces: dict[str, int] = {}
+        self.pieces: dict[str, int] = {}  # those that are no word by themselves
+        self.n_pieces = 0
+        self.alone = array("i")  # of each word, the number of its only piece, or -1
         self.new_words: list[int] = []  # pieces of each
         self.new_codes: list[int] = []  # pieces of all, one after the other
         self.new_pieces: list[str] = []
 
     def __missing__(self, word: str) -> int:
         found = self.pattern.findall(word)
-        for piece in found:
-            number = self.pieces.get(piece)
-            if number is None:
-                number = self.pieces[piece] = len(self.pieces)
-                self.new_pieces.append(piece.encode().decode("latin-1"))
-            self.new_codes.append(number)
+        numbers = [self._number(piece, piece == word) for piece in found]
+        self.alone.append(numbers[0] if found == [word] else -1)
+        self.new_codes += numbers
         self.new_words.append(len(found))
         self[word] = len(self)
         return len(self) - 1
 
+    def _number(self, piece: str, is_word: bool) -> int:
+        number = self.pieces.get(piece)
+        if number is None and (word := self.get(piece)) is not None and self.alone[word] >= 0:
+            number = self.alone[word]
+        if number is None:
+            number, self.n_pieces = self.n_pieces, self.n_pieces + 1
+            if not is_word:  # a word's own number is kept with the word
+                self.pieces[piece] = number
+            self.new_pieces.append(piece.encode().decode("latin-1"))
+        return number
+
     def clear_new(self) -> None:
         self.new_words, self.new_codes, self.new_pieces = [], [], []
 
@@ -237,9 +248,9 @@ def encode(
                 known = _Numbers(known.pattern)
             codes, counts = [], []
             for text in batch.column(len(names)).to_pylist():
-                before = len(known), len(known.pieces)
+                before = len(known), known.n_pieces
                 codes.append(np.fromiter(map(known.__getitem__, _words(text or "")), np.int32))
-                counts.append((len(known) - before[0], len(known.pieces) - before[1]))
+                counts.append((len(known) - before[0], known.n_pieces - before[1]))
             words = _lists(known.new_words, pa.array(known.new_codes, pa.int32()))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -264,12 +275,13 @@ def encode(
                 if a in starts:
                     pieces, words = [], []
                 part = batch.slice(a, b - a)
-                codes, new_words, new_pieces, _, merged = part.columns[len(names) :]
+                codes, new_words, long_pieces, _, merged = part.columns[len(names) :]
                 merged = merged.flatten()
                 own = _parts(merged, pack(merged), 4)
+                long = (p.encode("latin-1") for p in long_pieces.flatten().to_pylist())
+                long = (p for p in long if p not in held.value)
                 for i in np.flatnonzero(merged.is_null().to_numpy(zero_copy_only=False)):
-                    long = new_pieces.flatten()[int(i)].as_py().encode("latin-1")
-                    own[i] = pack(merge_long(long, held.value))
+                    own[i] = pack(merge_long(next(long), held.value))
                 pieces += own
                 new_words = new_words.flatten()
                 numbers = new_words.flatten().to_pylist()
@@ -287,6 +299,8 @@ def encode(
     schema = T.StructType([*kept_fields, *T._parse_datatype_string(extra).fields])
     numbered = docs.mapInArrow(number, schema)
     merged = numbered.withColumn("_merged", merge_all(F.col("_pieces"), ranks))
+    # Only what the fold left over travels on.
+    merged = merged.withColumn("_pieces", F.filter("_pieces", lambda p: F.length(p) > FOLD_BYTES))
     binary = [T.StructField(c, T.BinaryType()) for c in added]
     return merged.mapInArrow(assemble, T.StructType([*kept_fields, *binary]))
 

@@ -659,3 +659,13 @@ def test_shards_equal_scoring_all_their_rows(monkeypatch, rows, words):
             assert found.tolist() == best.tolist() and scores.tolist() == whole[best].tolist()
             if expected is not None:
                 assert [round(s, 6) for s in scores] == [round(s, 6) for _, s in expected]
+
+
+def test_bpe_numbers_hold_a_word_once():
+    """A word that is one piece is not held a second time as a piece, in whichever order they come."""
+    known = bpe._Numbers(bpe.regex.compile(public_tokenizers.PATTERN))
+    codes = [known[w] for w in (" one,", " one", " two", " two,", " one")]
+    assert codes == [0, 1, 2, 3, 1]
+    assert known.new_pieces == [" one", ",", " two"]
+    assert known.new_codes == [0, 1, 0, 2, 2, 1] and known.new_words == [2, 1, 1, 2]
+    assert set(known.pieces) == {" one", ","}
