@@ -369,3 +369,27 @@ def test_sources_are_read_once_for_all_cohorts(spark):
     features = {"a": df.select("subject_id", seen("x").alias("x"))}
     multi_source.build_cohorts(features, labels, models.SearchConfig(2, 2, 1, 7))
     assert count.value == 40
+
+
+def test_tasks_of_a_fit_follow_its_rows(spark, monkeypatch):
+    """However many shuffle partitions are set, a small fit has few tasks."""
+    rng = np.random.default_rng(5)
+    rows = [(str(i), float(v), int(v > 0.4)) for i, v in enumerate(rng.uniform(size=60))]
+    df = spark.createDataFrame(rows, "subject_id string, x double, y_true int")
+    widths, classes, logistic = [], models.with_classes, calibration._logistic
+
+    def noted(real):
+        return lambda rows, other: widths.append(rows.rdd.getNumPartitions()) or real(rows, other)
+
+    monkeypatch.setattr(models, "with_classes", noted(classes))
+    monkeypatch.setattr(calibration, "_logistic", noted(logistic))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    try:
+        space = {"trees": [3], "depth": [2], "min_split": [2], "min_leaf": [1], "features": ("0.7",)}
+        models.fit_tuned(df, ["x"], models.SearchConfig(2, 2, 1, 7, space, 1))
+        calibration.fit_sigmoid(df.withColumnRenamed("x", "p"))
+        calibration.fit_smoothed_sigmoid(df.withColumnRenamed("x", "p"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(widths) == 5 and max(widths) == 1
