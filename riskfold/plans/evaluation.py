@@ -71,11 +71,19 @@ def unified_stream(oof: DataFrame, required: tuple[str, ...] = REQUIRED) -> Data
 def evaluation_tables(
     stream: DataFrame, bins: int = summaries.DEFAULT_BINS, main: tuple[str, ...] = REQUIRED
 ) -> EvaluationTables:
-    """Curves of the main models; reliability and Brier of the fused ones, raw and calibrated."""
-    ranked = stream.filter(F.col("model").isin(*main))
-    fused = stream.filter(F.col("model").isin(*[m.removesuffix("_cal") for m in CALIBRATED]))
+    """Curves of the main models; reliability and Brier of the fused ones, raw and calibrated.
+
+    Curves and reliability come from one written table of counts, so the stream is read once
+    for all of them.
+    """
+    plain = [m.removesuffix("_cal") for m in CALIBRATED]
+    fused = stream.filter(F.col("model").isin(*plain))
     cal = stream.filter(F.col("model").isin(*CALIBRATED))
     has_cal = not cal.isEmpty()
+    counts = curves.count_table(stream.filter(F.col("model").isin(*main, *plain, *CALIBRATED)), ["model"])
+    ranked = counts.filter(F.col("model").isin(*main))
+    fused_counts = counts.filter(F.col("model").isin(*plain))
+    cal_counts = counts.filter(F.col("model").isin(*CALIBRATED))
     curve = curves.cumulative_curve(ranked)
     ranking = curve.groupBy("model").agg(
         curves.auc_sum().alias("auc"), curves.ap_sum().alias("auprc")
@@ -84,9 +92,9 @@ def evaluation_tables(
         curves.roc_points(ranked, drop_collinear=True, curve=curve),
         curves.pr_points(ranked, curve=curve),
         ranking.orderBy(F.desc("auc"), "model"),
-        summaries.reliability_curve(fused, bins),
+        summaries.reliability_curve(fused_counts, bins),
         summaries.brier_score(fused),
-        summaries.reliability_curve(cal, bins) if has_cal else None,
+        summaries.reliability_curve(cal_counts, bins) if has_cal else None,
         summaries.brier_score(cal) if has_cal else None,
     )
 

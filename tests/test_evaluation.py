@@ -2,9 +2,11 @@
 
 import json
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from riskfold.operators import models
+from riskfold.operators import models, summaries
 from riskfold.plans import evaluation, reporting, scoring
 from riskfold.sources import tables
 
@@ -39,6 +41,34 @@ def test_calibrated_tables_only_with_calibrated_streams(wide):
     assert cal.reliability_cal.count() == out.reliability.count()
 
 
+def test_tables_read_the_stream_once(spark):
+    """However many tables are made of it: a score is computed for a filter and for the counts."""
+    count = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def seen(v):
+        count.add(1)
+        return v
+
+    names = [*evaluation.REQUIRED, *evaluation.CALIBRATED]
+    rows = [(m, i % 2, (i * 7 % 20) / 20) for m in names for i in range(30)]
+    stream = spark.createDataFrame(rows, "model string, y_true int, p double").select("model", "y_true", seen("p").alias("p"))
+    out = evaluation.evaluation_tables(stream, bins=4)
+    for df in (out.roc, out.pr, out.ranking, out.reliability, out.reliability_cal):
+        assert df.count()
+    assert count.value <= 2 * len(rows)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 11, 57])
+def test_quantile_edges_equal_numpy(spark, n):
+    rng = np.random.default_rng(n)
+    streams = {"tied": rng.integers(0, 4, n) / 4, "mixed": rng.uniform(size=n), "flat": np.full(n, 0.5)}
+    rows = [(m, i % 2, float(p)) for m, ps in streams.items() for i, p in enumerate(ps)]
+    scores = spark.createDataFrame(rows, "model string, y_true int, p double")
+    for r in summaries.quantile_edges(scores, 10, ["model"]).collect():
+        assert sorted(r.edges) == pytest.approx(list(np.quantile(streams[r.model], np.arange(1, 10) / 10)))
+
+
 def test_single_files_are_used_only_together(spark, wide, tmp_path):
     paths = {}
     for n in ("lab", "serology"):
