@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskfold.functions.scaling import written
+from riskfold.functions.scaling import fits_one_task, written
 from riskfold.operators.calibration import Calibrator, fit_calibrator
 from riskfold.operators.cohort import (
     ID,
@@ -50,7 +50,8 @@ def build_cohort(features: DataFrame, labels: DataFrame, cfg: SearchConfig) -> D
     """One row per labelled subject with its outer fold."""
     rows = join_label(dedup_keep_first(features, [ID]), dedup_keep_first(labels, [ID]))
     rows = written(rows, "cohort-rows")  # read for the folds and again with them
-    folds = stratified_folds(rows.select(ID, LABEL), cfg.outer_folds, cfg.seed)
+    few = fits_one_task(rows.count())
+    folds = stratified_folds(rows.select(ID, LABEL), cfg.outer_folds, cfg.seed, few=few)
     return guard_labels(written(rows.join(folds.select(ID, "fold_id"), ID), "cohort"), "cohort")
 
 

@@ -189,3 +189,31 @@ def test_fractional_labels_are_refused(spark):
     assert sorted(r[cohort.LABEL] for r in kept.collect()) == [-1, 1]
     with pytest.raises(ValueError):
         cohort.guard_labels(kept, "labels")
+
+
+def test_few_rows_get_the_folds_of_many(spark):
+    """One window deals the same folds as buckets, copies and nulls included, and their sizes are known."""
+    rows = [(str(i % 50), int(i % 7 == 0), i) for i in range(180)] + [("x", None, 1), (None, 1, 2)]
+    df = spark.createDataFrame(rows, "subject_id string, y_true int, v int")
+    many = folds.stratified_folds(df, 4, 42, tie=["v"])
+    few = folds.stratified_folds(df, 4, 42, tie=["v"], few=True)
+    assert sorted(map(str, few.collect())) == sorted(map(str, many.collect()))
+    known = df.dropna(subset=["y_true"])
+    sizes = {r[0]: r[1] for r in known.groupBy("y_true").count().collect()}
+    dealt = folds.stratified_folds(known, 4, 42, tie=["v"])
+    counted = {(r[0], r[1]): r[2] for r in dealt.groupBy("fold_id", "y_true").count().collect()}
+    assert folds.fold_sizes(sizes, 4) == counted
+    for sizes in ({0: 2, 1: 1}, {1: 5}, {0: 3, 1: 7}):
+        by_rank = [(i % 4 + 1, k) for i, k in enumerate(k for k, n in sorted(sizes.items()) for _ in range(n))]
+        assert folds.fold_sizes(sizes, 4) == {pair: by_rank.count(pair) for pair in by_rank}
+    outer = folds.stratified_folds(df.filter("subject_id is not null"), 3, 1)
+    one, two = (folds.nested_folds(outer, 3, 2, 1, few=f) for f in (False, True))
+    per = ["subject_id", "v", "outer_fold"]
+    assert sorted(map(str, two.select(per).collect())) == sorted(map(str, one.select(per).collect()))
+
+
+def test_folds_of_many_rows_broadcast_nothing(spark):
+    df = spark.range(500).selectExpr("cast(id as string) as subject_id", "cast(id % 2 as int) as y_true")
+    dealt = folds.stratified_folds(df, 3, 1)
+    assert dealt.count() == 500
+    assert "Broadcast" not in dealt._jdf.queryExecution().executedPlan().toString()

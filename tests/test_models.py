@@ -393,3 +393,50 @@ def test_tasks_of_a_fit_follow_its_rows(spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert len(widths) == 5 and max(widths) == 1
+
+
+def test_a_search_has_few_jobs(spark):
+    """A search counts its classes once; its folds need one shuffle and their sizes no job."""
+    rng = np.random.default_rng(5)
+    rows = [(str(i), float(v), int(v > 0.4)) for i, v in enumerate(rng.uniform(size=60))]
+    df = spark.createDataFrame(rows, "subject_id string, x double, y_true int")
+    space = {"trees": [3], "depth": [2], "min_split": [2], "min_leaf": [1], "features": ("0.7",)}
+    jobs, context = [], spark.sparkContext
+    real = models.in_parallel
+
+    def noted(*args):  # the first call starts the fits
+        jobs.append(len(context.statusTracker().getJobIdsForGroup("search-jobs")))
+        return real(*args)
+
+    context.setJobGroup("search-jobs", "jobs before the first fit")
+    models.in_parallel = noted
+    try:
+        models.fit_tuned(df, ["x"], models.SearchConfig(2, 2, 1, 7, space, 1))
+    finally:
+        models.in_parallel = real
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert 1 <= jobs[0] <= 5
+
+
+def test_a_fold_is_finished_with_its_last_fit(spark, cohorts, monkeypatch):
+    """Late fusion of a fold does not wait for the fits of later folds."""
+    order = []
+    cfg = models.SearchConfig(2, 2, 1, 7, SPACE, 1)
+    table = cohorts.wide.select("subject_id", "fold_id", "y_true", F.lit(0.5).alias("p"))
+
+    def jobs(kind):
+        return lambda c, k, cfg: {n: (lambda: order.append((kind, k)) or table) for n in ("a", "b")}
+
+    monkeypatch.setattr(multi_source, "_inner_jobs", jobs("inner"))
+    monkeypatch.setattr(multi_source, "_base_jobs", jobs("base"))
+    monkeypatch.setattr(multi_source, "_meta_rows", lambda c, k, scored: table)
+    monkeypatch.setattr(multi_source, "_base_rows", lambda c, k, scored: table)
+
+    def late(c, fold, *rest):
+        order.append(("late", fold))
+        return [multi_source._labelled(table.filter(F.col("fold_id") == fold), "multi_late")], table, None
+
+    monkeypatch.setattr(multi_source, "late_fold", late)
+    run = multi_source.evaluate(cohorts, cfg, None, 2, ("late",))
+    assert run.oof.count() == table.count()
+    assert order.index(("late", 1)) < order.index(("inner", 2))
