@@ -355,6 +355,30 @@ def test_precisions_scored_together_equal_those_alone(spark):
         assert found == pytest.approx([*expected, 0.0])
 
 
+def test_forests_of_a_fold_share_a_scan_of_it(spark):
+    rows = spark.range(80).select(
+        F.col("id").cast("string").alias("subject_id"),
+        array_to_vector(F.array((F.col("id") % 7).cast("double"), (F.col("id") % 5).cast("double"))).alias("features"),
+        (F.col("id") % 3 == 0).cast("double").alias("y_true"),
+        F.lit(1.0).alias("weight"),
+        (F.col("id") % 2 + 1).cast("int").alias("inner"),
+    )
+    some = [models.forest(models.ForestParams(3, d), 7).fit(rows) for d in (1, 2)]
+    fitted = [(m, k) for m in some for k in (1, 2)]
+    alone = [m.transform(rows.filter(F.col("inner") == k)) for m, k in fitted]
+    scores = models.held_scores(rows, "inner", [(m.copy(), k) for m, k in fitted])
+    expected = {i: sorted((r[0], r[1]) for r in d.select(models.positive_probability(), "y_true").collect()) for i, d in enumerate(alone)}
+    found = {i: [] for i in expected}
+    for r in scores.collect():
+        found[r.model].append((r.p, r.y_true))
+    assert {i: sorted(x) for i, x in found.items()} == expected
+    plan = scores._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Range (") == 2  # one a fold, not one a forest
+    shuffled = curves.cumulative_curve(scores.repartition("model"), edges=[]).groupBy("model").count()
+    assert shuffled._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert models.model_precisions(scores, 5, True) == pytest.approx([*models.step_precisions(alone), 0.0])
+
+
 def test_sources_are_read_once_for_all_cohorts(spark):
     """A source is computed once, however many cohorts and folds are built from it."""
     count = spark.sparkContext.accumulator(0)
