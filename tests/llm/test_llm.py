@@ -5,12 +5,14 @@ import json
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 from math import log, log10
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 import tiktoken
 import xxhash
@@ -19,6 +21,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 import corpus_pipeline
+from riskfold.functions import scaling
 from riskfold.llm import bpe, chat, fingerprint, html, langid, lm, mixing, search, simhash, tokenfile
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -661,6 +664,28 @@ def test_shards_equal_scoring_all_their_rows(monkeypatch, rows, words):
                 assert [round(s, 6) for s in scores] == [round(s, 6) for _, s in expected]
 
 
+def test_a_shard_holds_few_bytes_a_posting():
+    rows, terms = 4000, 40_000
+    rng = np.random.default_rng(3)
+    raw = search._shard(
+        list(range(rows)),
+        [(np.sort(rng.choice(terms, 150, False)), np.ones(150, np.int32)) for _ in range(rows)],
+    )
+    postings = rows * 150
+    tracemalloc.start()
+    shard = search.Shard(*raw[:4], np.array(raw[4]), raw[5], 150.0)
+    held, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert shard.n == rows and held < 35 * postings and most < 45 * postings
+
+
+def test_shards_of_a_file_are_row_groups(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(scaling, "shared_dir", lambda _: str(tmp_path))
+    back = scaling.written(spark.range(0, 5, 1, 1), "index", **search.FILES)
+    (file,) = tmp_path.glob("index-*/*.parquet")
+    assert pq.ParquetFile(file).num_row_groups == 5 and back.count() == 5
+
+
 def test_bpe_numbers_hold_a_word_once():
     """A word that is one piece is not held a second time as a piece, in whichever order they come."""
     known = bpe._Numbers(bpe.regex.compile(public_tokenizers.PATTERN))
