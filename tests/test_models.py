@@ -1,5 +1,8 @@
 """Fitted models: sanity on a learnable label, exactness of the linear parts, attribution."""
 
+from itertools import count
+from threading import Barrier
+
 import numpy as np
 import pytest
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -464,3 +467,38 @@ def test_a_fold_is_finished_with_its_last_fit(spark, cohorts, monkeypatch):
     run = multi_source.evaluate(cohorts, cfg, None, 2, ("late",))
     assert run.oof.count() == table.count()
     assert order.index(("late", 1)) < order.index(("inner", 2))
+
+
+def test_draws_of_a_search_share_the_frame_of_a_fold(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(str(i), float(v), int(v > 0.4)) for i, v in enumerate(rng.uniform(size=60))]
+    df = spark.createDataFrame(rows, "subject_id string, x double, y_true int")
+    made, real = [], models.with_classes
+    monkeypatch.setattr(models, "with_classes", lambda *a: made.append(a[1]) or real(*a))
+    space = {"trees": [3], "depth": [2], "min_split": [2], "min_leaf": [1], "features": ("0.7",)}
+    found = models.fit_tuned(df, ["x"], models.SearchConfig(2, 2, 4, 7, space, 2))
+    assert made == [2, 2, 2] and len(found.search) == 4
+
+
+def test_models_are_saved_loaded_and_calibrated_at_the_same_time(spark, final, run, monkeypatch, tmp_path):
+    """Two of each kind wait for each other, so one after the other would time out."""
+
+    def met(real):
+        pair = Barrier(2)
+
+        def wait(*args, **kwargs):
+            if next(calls) < 2:
+                pair.wait(60)
+            return real(*args, **kwargs)
+
+        calls = count()
+        return wait
+
+    for module, name in (
+        (artifacts, "save_forest"), (artifacts, "load_forest"), (calibration, "fit_calibrator"),
+    ):
+        monkeypatch.setattr(module, name, met(getattr(module, name)))
+    path = artifacts.save_models(final, str(tmp_path / "models"))
+    loaded = artifacts.load_models(spark, path, ["profile", "orders"])
+    assert list(loaded.bases) == ["profile", "orders"] and set(loaded.singles) == set(final.singles)
+    assert set(multi_source.fit_oof_calibrators(run.oof)) == {"early", "late"}
