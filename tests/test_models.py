@@ -469,6 +469,21 @@ def test_a_fold_is_finished_with_its_last_fit(spark, cohorts, monkeypatch):
     assert order.index(("late", 1)) < order.index(("inner", 2))
 
 
+def test_deep_forests_hold_the_node_of_each_row(spark):
+    """The trees are those of a fit that walks every row down from the root for each level."""
+    rng = np.random.default_rng(5)
+    rows = [(float(v), float(w), int(v + w > 0.9), 1.0) for v, w in rng.uniform(size=(300, 2))]
+    df = spark.createDataFrame(rows, "v double, w double, y_true int, weight double")
+    df = models.with_classes(df.withColumn("features", array_to_vector(F.array("v", "w"))), 2)
+    deep = models.forest(models.ForestParams(5, None), 3)
+    shallow = models.forest(models.ForestParams(5, models.SHALLOW), 3)
+    assert deep.getCacheNodeIds() and not shallow.getCacheNodeIds()
+    walked = models.forest(models.ForestParams(5, None), 3)
+    walked.set(walked.cacheNodeIds, False)
+    trees = [[t.toDebugString.split("\n", 1)[1] for t in f.fit(df).trees] for f in (deep, walked)]
+    assert trees[0] == trees[1]
+
+
 def test_draws_of_a_search_share_the_frame_of_a_fold(spark, monkeypatch):
     rng = np.random.default_rng(5)
     rows = [(str(i), float(v), int(v > 0.4)) for i, v in enumerate(rng.uniform(size=60))]
